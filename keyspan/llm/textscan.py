@@ -20,8 +20,11 @@ CHUNK_BYTES = 1 << 20
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
 _BASE = 0x9E3779B97F4A7C15
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Classes of bytes: 0 between words, else words end where the class changes.
+_PLAIN = np.ones(256, np.uint8)
+_PLAIN[[9, 10, 11, 12, 13, 32]] = 0
+_MARKED = _PLAIN.copy()
+_MARKED[[b for b in range(33, 127) if not chr(b).isalnum()]] = 2
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -100,8 +103,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def scan_words(column: pa.Array, lower: bool) -> Iterator[Words]:
-    """Words of all texts, a chunk of about a MB (or one longer text) at a time."""
+def scan_words(column: pa.Array, lower: bool, marks: bool = False) -> Iterator[Words]:
+    """Words of all texts, a chunk of about a MB (or one longer text) at a time.  With marks, runs of ASCII punctuation are words of their own."""
+    classes = _MARKED if marks else _PLAIN
     data, offsets = text_buffers(column)
     n, lo = len(column), 0
     while lo < n:
@@ -109,13 +113,14 @@ def scan_words(column: pa.Array, lower: bool) -> Iterator[Words]:
         hi = min(hi, n)
         buf = data[offsets[lo] : offsets[hi]]
         borders = offsets[lo : hi + 1] - offsets[lo]
-        word = ~_SPACE[buf]
+        kind = classes[buf]
+        word = kind > 0
         starts = word.copy()
-        starts[1:] &= ~word[:-1]
+        starts[1:] &= kind[1:] != kind[:-1]
         inner = borders[:-1][borders[:-1] < len(buf)]
         starts[inner] = word[inner]
         ends = word.copy()
-        ends[:-1] &= ~word[1:]
+        ends[:-1] &= kind[1:] != kind[:-1]
         last = borders[1:][borders[1:] > 0] - 1
         ends[last] = word[last]
         starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
