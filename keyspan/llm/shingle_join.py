@@ -179,7 +179,7 @@ def frequent_tokens(docs: DataFrame):
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids that link: both sets are made again from the node's document and intersected."""
-    ids = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct().join(nodes, "s1")
+    ids = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct().join(nodes.select("s1", "doc"), "s1")
     wanted = Filter.over(ids.select(F.col("doc").bitwiseXOR(F.col("s1")).alias("k")), "k")
 
     def scan(batches):
@@ -211,7 +211,34 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return two.mapInArrow(compare, "a long, b long")
 
 
-def tree_candidates(members: DataFrame, joined: DataFrame, table: DataFrame) -> DataFrame:
+def may_link(size_a, bits_a, size_b, bits_b) -> np.ndarray:
+    """Whether pairs can reach the similarity, by sizes and by the bits that one bitmap has and the other lacks."""
+    both = np.bitwise_count(bits_a & bits_b).sum(1).astype(np.int64)
+    most = np.minimum(size_a - (np.bitwise_count(bits_a).sum(1) - both), size_b - (np.bitwise_count(bits_b).sum(1) - both))
+    return (NUM + DEN) * most >= NUM * (size_a + size_b)
+
+
+def bitmaps(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SIGNATURE_BITS // 64)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps don't rule out."""
+    own = nodes.select("s1", "n", "bits")
+    a, b = own.toDF("a", "na", "xa"), own.toDF("b", "nb", "xb")
+    fits = (DEN * F.least("na", "nb")) >= (NUM * F.greatest("na", "nb"))
+    sized = pairs.join(a.drop("xa"), "a").join(b.drop("xb"), "b").where(fits)
+
+    def check(batches):
+        for t in batches:
+            n, x, m, y = t.column(2).to_numpy(), bitmaps(t.column(3)), t.column(4).to_numpy(), bitmaps(t.column(5))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(may_link(n, x, m, y)))
+
+    both = sized.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "xa", "nb", "xb")
+    return both.mapInArrow(check, "a long, b long")
+
+
+def tree_candidates(members: DataFrame, joined: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes in different components that the signature trees of the blocks (token, s1) leave over."""
     rows = members.join(joined.select(F.col("node").alias("s1"), "component"), "s1", "left").select("token", "s1", F.coalesce("component", "s1").alias("component"))
     blocks = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("s1")).alias("x"), F.bit_xor(F.xxhash64("s1", F.lit(1))).alias("y"))
@@ -219,15 +246,13 @@ def tree_candidates(members: DataFrame, joined: DataFrame, table: DataFrame) ->
     blocks = blocks.where("size > 2 and low < high").groupBy("size", "x", "y").agg(F.min("token").alias("token"))
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.join(blocks.select("token", parts.alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int"))
-    bitmaps = table.where("n > 0").groupBy("s1").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    rows = rows.join(bitmaps, "s1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.join(nodes.select("s1", "n", "bits"), "s1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "s1", "component", "n", "bits")
 
     def search(batches):
         def block(t: pa.Table):
             part, s1 = t["part"].to_numpy(), t["s1"].to_numpy()
-            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(t), -1)
-            i, j = SignatureTree(t["n"].to_numpy(), bits, t["component"].to_numpy()).pairs()
+            i, j = SignatureTree(t["n"].to_numpy(), bitmaps(t["bits"]), t["component"].to_numpy()).pairs()
             if t["p"][0].as_py() != t["q"][0].as_py():
                 i, j = i[part[i] != part[j]], j[part[i] != part[j]]
             return pa.record_batch({"a": np.maximum(s1[i], s1[j]), "b": np.minimum(s1[i], s1[j])})
@@ -256,7 +281,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     table = written(sets_table(docs), "sets")
-    nodes = written(table.where("n > 0").groupBy("s1").agg(F.min("doc").alias("doc")), "nodes")
+    nodes = written(table.where("n > 0").groupBy("s1").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     tokens = written(prefix_tokens(docs, frequent_tokens(docs)), "tokens")
     shared = Filter.over(tokens.groupBy("token").count().where("count > 1"), "token")
 
@@ -267,13 +292,14 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     rows = written(tokens.mapInArrow(passing, "token long, s1 long"), "shared")
     blocks = rows.groupBy("token").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high")
     members = written(rows.join(blocks.select("token", "low"), "token").distinct(), "members")
-    pairs = written(members.where("s1 <> low").select(F.col("s1").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    pairs = members.where("s1 <> low").select(F.col("s1").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = written(plausible(written(pairs, "pairs"), nodes), "plausible")
     links = written(verified(docs, pairs, nodes), "links")
-    more = written(tree_candidates(members.select("token", "s1"), components(links), table), "pairs")
+    more = written(tree_candidates(members.select("token", "s1"), components(links), nodes), "pairs")
     links = written(links.unionByName(verified(docs, more, nodes)), "links")
     groups = components(links)
-    least = groups.join(nodes, groups.node == nodes.s1).groupBy("component").agg(F.min("doc").alias("component_id"))
+    least = groups.join(nodes.select("s1", "doc"), groups.node == F.col("s1")).groupBy("component").agg(F.min("doc").alias("component_id"))
     named = written(groups.join(least, "component").select(F.col("node").alias("s1"), "component_id"), "groups")
-    label = nodes.join(named, "s1", "left").select("s1", F.coalesce("component_id", "doc").alias("component_id"))
+    label = nodes.select("s1", "doc").join(named, "s1", "left").select("s1", F.coalesce("component_id", "doc").alias("component_id"))
     out = table.select("doc", "n", "s1").join(label, "s1", "left")
     return out.select(F.col("doc").cast(dict(documents.dtypes)[id_col]).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))

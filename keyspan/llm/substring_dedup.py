@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Filter, written
-from .textscan import grams, mix64, scan_words, signed, sliding_min
+from .textscan import grams, mix64, scan_words, signed, slices, sliding_min
 
 #: Words of a window (depth of a reported node), and of the prefix that suffixes are sampled and split by.
 DEPTH, PREFIX = 13, 5
@@ -137,7 +137,7 @@ def without_repeats(documents: DataFrame, digest: bool = False, depth: int = DEP
     sha = lambda words: hashlib.sha256(b" ".join(words)).hexdigest()
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, th = b.column(0).fill_null(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             hit = marked.value.has(ids ^ (th << 32)) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
             n, kept, text = [], [], []
@@ -149,7 +149,7 @@ def without_repeats(documents: DataFrame, digest: bool = False, depth: int = DEP
             yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(text, pa.string())], names=["doc", "th", "n_words", "kept", "text"])
 
     def remove(batches):
-        for b in batches:
+        for b in slices(batches):
             removed, kept, changed = [], [], []
             for n, done, t, starts, whole in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
                 if t is None:

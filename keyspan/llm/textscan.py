@@ -154,3 +154,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def slices(batches, rows: int = 1000):
+    """Batches cut to so many rows at most, so that what Python holds of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
