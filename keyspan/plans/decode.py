@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,8 +135,6 @@ def decode(recordings: DataFrame, force_freq: float | None = None, force_wpm: fl
 
 def with_accuracy(results: DataFrame, reference) -> DataFrame:
     """Adds accuracy: the sequence matcher's ratio of text and reference, letters, digits and spaces only."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)])

@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import repair_text
 from .functions.codes import CODE_OF, PLAUSIBLE
-from .operators import binarize, keying, scoring, series, spectral, timing
+from .functions.vocabulary import CALL_PATTERN, KNOWN_CALLS, USUAL_REPORTS, WORDS
+from .operators import binarize, keying, repair, scoring, series, spectral, timing
+from .plans import decode
+from .sources import audio
+from .streaming import channels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -535,6 +540,161 @@ def decode_score(spark, sf_dir):
     return d.select("doc_id", F.round(scoring.decode_score(keying.keyable(F.col("text")), 0.3 + (k % 30) / 100.0, dit, dit * (2 + k % 3)), 6).alias("score"))
 
 
+# --- text repair ----------------------------------------------------------------------------------------------------------
+
+
+def customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer")
+
+
+@query()
+def contest_runon(spark, sf_dir):
+    x = exchanges(spark, sf_dir)
+    glued = F.concat("text", F.lit(" R5NN EEEI 5NNT8"), (F.col("c_custkey") % 10).cast("string"))
+    return x.select("c_custkey", repair.split_runons(glued).alias("text"))
+
+
+RUNON = "upper(t)"
+for _pattern, _by in repair_text.RUN_ON:
+    RUNON = f"regexp_replace({RUNON}, '{_pattern}', '{_by}', 'g')"
+ORACLE_SQL["contest_runon"] = f"""WITH x AS (SELECT c_custkey, {EXCHANGE} || ' R5NN EEEI 5NNT8' || c_custkey % 10 AS t FROM customer), y AS (SELECT c_custkey, {RUNON} AS t FROM x)
+SELECT c_custkey, array_to_string(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '' AND NOT regexp_matches(w, '{repair_text.NOISE.pattern}')), ' ') AS text FROM y"""
+
+
+@query(f"""WITH n AS (SELECT p_partkey, lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS n FROM part), u(r) AS (VALUES {", ".join(f"('{r}')" for r in USUAL_REPORTS)}),
+c AS (SELECT p_partkey, n, r, CASE WHEN n[2:3] = r[2:3] THEN 1 WHEN n[1:1] || n[3:3] = r[1:1] || r[3:3] THEN 2 WHEN n[1:2] = r[1:2] THEN 3 END AS j FROM n, u)
+SELECT p_partkey, coalesce(CASE WHEN count(*) FILTER (n = r) > 0 THEN any_value(n) ELSE arg_min(r, (j, r)) FILTER (j IS NOT NULL) END, any_value(n)) AS report FROM c GROUP BY p_partkey""")
+def rst_snap(spark, sf_dir):
+    n = F.format_string("%03d", F.col("p_partkey") % 1000)
+    return table(spark, sf_dir, "part").select("p_partkey", repair.snapped(n).alias("report"))
+
+
+@query(f"WITH x AS (SELECT c_custkey, unnest(string_split({EXCHANGE}, ' ')) AS token FROM customer) SELECT c_custkey, token, regexp_matches(token, '{CALL_PATTERN}') AND NOT regexp_matches(token, '^(?:[15E]NN|[1-5]NN)$') AS is_call FROM x")
+def callsign_shape(spark, sf_dir):
+    x = exchanges(spark, sf_dir).select("c_custkey", F.explode(F.split("text", " ")).alias("token"))
+    return x.select("c_custkey", "token", repair.call_shaped(F.col("token")).alias("is_call"))
+
+
+@query("SELECT c_custkey, array_to_string(list_filter(list_transform(string_split(replace(c_mktsegment, 'I', '<AR>') || ' <SK> <AR><KN> K', ' '), lambda t: CASE WHEN t IN ('<AR>', '<SK>', '<KN>') THEN t ELSE regexp_replace(t, '<(AR|SK|KN)>', '', 'g') END), lambda t: t <> ''), ' ') AS text FROM customer")
+def spurious_prosigns(spark, sf_dir):
+    text = F.concat(F.replace("c_mktsegment", F.lit("I"), F.lit("<AR>")), F.lit(" <SK> <AR><KN> K"))
+    return customers(spark, sf_dir).select("c_custkey", repair.without_prosigns(text).alias("text"))
+
+
+@query("SELECT c_custkey, array_to_string(list_transform(list_transform(string_split('/' || c_mktsegment || '( A&' || c_custkey || ' ?PY?', ' '), lambda t: replace(regexp_replace(replace(t, '(', 'NG'), '^/', 'C'), '&', '')), lambda t: CASE WHEN t = '?PY?' THEN 'CPY?' ELSE t END), ' ') AS text FROM customer")
+def special_chars(spark, sf_dir):
+    text = F.concat(F.lit("/"), "c_mktsegment", F.lit("( A&"), F.col("c_custkey").cast("string"), F.lit(" ?PY?"))
+    return customers(spark, sf_dir).select("c_custkey", repair.cleaned_specials(text).alias("text"))
+
+
+def _quoted(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+_V = repair.Vocabulary()
+
+
+@query(f"""WITH x AS (SELECT c_custkey, unnest(range(1, 7)) AS p, string_split('AGN= =TNX ?WATER ' || c_custkey || '= ' || c_mktsegment || '= ?' || c_mktsegment, ' ') AS w FROM customer),
+t AS (SELECT c_custkey, p, w[p] AS t, upper(regexp_replace(w[p], '=$', '')) AS h, upper(regexp_replace(w[p], '^[=?]', '')) AS b FROM x),
+o AS (SELECT c_custkey, p, CASE WHEN length(t) > 1 AND t LIKE '%=' AND (list_contains({_quoted(_V.abbreviations | _V.q_codes | set(_V.word_fixes))}, h) OR regexp_matches(h, '^[0-9]+$')) THEN h || ' ='
+  WHEN length(t) > 1 AND t LIKE '=%' AND list_contains({_quoted(_V.abbreviations | _V.q_codes | set(_V.word_fixes) | _V.words)}, b) THEN '= ' || b
+  WHEN length(t) > 1 AND t LIKE '?%' AND list_contains({_quoted(_V.words | _V.abbreviations)}, b) THEN b ELSE t END AS t FROM t)
+SELECT c_custkey, string_agg(t, ' ' ORDER BY p) AS text FROM o GROUP BY c_custkey""")
+def detach_prosign(spark, sf_dir):
+    text = F.concat(F.lit("AGN= =TNX ?WATER "), F.col("c_custkey").cast("string"), F.lit("= "), "c_mktsegment", F.lit("= ?"), "c_mktsegment")
+    return customers(spark, sf_dir).select("c_custkey", repair.detached(text).alias("text"))
+
+
+@query(f"""WITH t AS (SELECT DISTINCT unnest(string_split({KEYABLE}, ' ')) AS word FROM documents), v AS (SELECT unnest({_quoted(WORDS)}) AS known)
+SELECT word, min(known) AS fixed FROM t JOIN v ON abs(length(word) - length(known)) <= 1 AND levenshtein(word, known) = 1 WHERE length(word) >= 3 AND regexp_matches(word, '^[A-Z]+$') AND word NOT IN (SELECT known FROM v) GROUP BY word""")
+def fuzzy_fix(spark, sf_dir):
+    known = spark.createDataFrame([(w,) for w in sorted(WORDS)], "word string")
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(keying.keyable(F.col("text")), " ")).alias("word")).where("length(word) >= 3 and word rlike '^[A-Z]+$'").distinct()
+    return repair.nearest_words(words.join(F.broadcast(known), "word", "left_anti"), known)
+
+
+@query(f"""WITH x AS (SELECT c_custkey, unnest(string_split({EXCHANGE}, ' ')) AS token FROM customer), k AS (SELECT unnest({_quoted(KNOWN_CALLS)}) AS known),
+d AS (SELECT c_custkey, token, arg_min(known, (levenshtein(token, known), known)) AS call, min(levenshtein(token, known)) AS distance FROM x, k GROUP BY c_custkey, token) SELECT * FROM d WHERE distance <= 4""")
+def known_nearest(spark, sf_dir):
+    x = exchanges(spark, sf_dir).select("c_custkey", F.explode(F.split("text", " ")).alias("token")).distinct()
+    near = F.array_min(F.transform(F.array(*[F.lit(k) for k in KNOWN_CALLS]), lambda k: F.struct(F.levenshtein("token", k).alias("d"), k.alias("k"))))
+    return x.select("c_custkey", "token", near.alias("n")).where("n.d <= 4").select("c_custkey", "token", F.col("n.k").alias("call"), F.col("n.d").alias("distance"))
+
+
+@query()
+def semantic_correct(spark, sf_dir):
+    text = F.concat("text", F.lit(" UR RSA 59"), (F.col("c_custkey") % 10).cast("string"), F.lit(" TNK THEFIRST STATIOM K"))
+    x = exchanges(spark, sf_dir).select("c_custkey", text.alias("raw"))
+    return repair.semantic_correct(x, "c_custkey", "raw").select("c_custkey", "text", F.size("corrections").alias("corrections"), F.array_join(F.array_distinct(F.transform("corrections", lambda c: c.type)), ",").alias("types"))
+
+
+@query()
+def context_rules(spark, sf_dir):
+    x = customers(spark, sf_dir).select("c_custkey", F.concat(F.lit("FB QSK KE W1AW UR 599 1 NAME "), "c_mktsegment", F.lit(" CQ THE DE K3EST")).alias("raw"))
+    return repair.semantic_correct(x, "c_custkey", "raw", phases=(repair_text.qso_context,)).select("c_custkey", "text", F.size("corrections").alias("corrections"))
+
+
+@query()
+def word_break(spark, sf_dir):
+    """Known words of each conversation turn, run together and parted again."""
+    words = F.filter(F.split(keying.keyable(F.col("text")), " "), lambda w: F.array_contains(F.array(*[F.lit(k) for k in sorted(WORDS)]), w))
+    x = turns(spark, sf_dir).select("rec", F.array_join(F.slice(words, 1, 12), "").alias("raw")).where("length(raw) >= 6")
+    return repair.semantic_correct(x, "rec", "raw", phases=(repair_text.merged_words,)).select("rec", "raw", "text")
+
+
+@query()
+def overlap_stitch(spark, sf_dir):
+    """Each turn of a conversation cut into two windows that overlap by four words, stitched back."""
+    from pyspark.sql.types import StringType
+
+    w = F.split(keying.keyable(F.col("text")), " ")
+    x = turns(spark, sf_dir).select("rec", w.alias("w"), (F.size(w) / 2).cast("int").alias("h")).where("h > 4")
+    join = F.udf(lambda a, b: repair_text.stitched(a, b), StringType(), useArrow=True)
+    return x.select("rec", join(F.array_join(F.slice("w", F.lit(1), F.col("h")), " "), F.array_join(F.slice("w", F.col("h") - 3, F.size("w")), " ")).alias("text"))
+
+
+# --- gap classes by kernels, recordings, streams --------------------------------------------------------------------------
+
+
+@query()
+def viterbi_gaps(spark, sf_dir):
+    marks, spaces = marks_and_spaces(spark, sf_dir)
+    return timing.kernel_gaps(spaces, timing.quartile_dit(marks), "viterbi")
+
+
+@query()
+def weighted_gaps(spark, sf_dir):
+    marks, spaces = marks_and_spaces(spark, sf_dir)
+    return timing.kernel_gaps(spaces, timing.quartile_dit(marks), "weighted")
+
+
+@query()
+def hybrid_gaps(spark, sf_dir):
+    marks, spaces = marks_and_spaces(spark, sf_dir)
+    return timing.kernel_gaps(spaces, timing.quartile_dit(marks), "hybrid")
+
+
+def recordings(spark, sf_dir):
+    """Nation names as keyed audio."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit("CQ DE "), F.replace("n_name", F.lit("_"), F.lit(" "))).alias("t"))
+    return audio.synthesized(n.repartition(8), "id", "t", 8000, 700.0, 25.0)
+
+
+@query()
+def decode_recordings(spark, sf_dir):
+    return rounded(decode.decode(recordings(spark, sf_dir)), "score", "freq", "freq_initial", "snr_db", places=4)
+
+
+@query()
+def decode_hypotheses(spark, sf_dir):
+    return rounded(decode.hypotheses(recordings(spark, sf_dir), 700.0), "score", "snr_db", "dit", "dah", "wpm", "duty_cycle", places=4)
+
+
+@query()
+def stream_hits(spark, sf_dir):
+    return rounded(channels.decode_batch(channels.chunked(recordings(spark, sf_dir), 4000)), "score", "wpm", places=4)
+
+
 # --- event time -----------------------------------------------------------------------------------------------------------
 
 
