@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import repair_text
 from .functions.codes import CODE_OF, PLAUSIBLE
-from .functions.vocabulary import CALL_PATTERN, KNOWN_CALLS, USUAL_REPORTS, WORDS
+from .functions.vocabulary import CALL_PATTERN, KNOWN_CALLS, USUAL_REPORTS
+from .functions.vocabulary import WORDS as KNOWN_WORDS
 from .operators import binarize, keying, repair, scoring, series, spectral, timing
 from .plans import decode
 from .sources import audio
@@ -605,10 +606,10 @@ def detach_prosign(spark, sf_dir):
     return customers(spark, sf_dir).select("c_custkey", repair.detached(text).alias("text"))
 
 
-@query(f"""WITH t AS (SELECT DISTINCT unnest(string_split({KEYABLE}, ' ')) AS word FROM documents), v AS (SELECT unnest({_quoted(WORDS)}) AS known)
+@query(f"""WITH t AS (SELECT DISTINCT unnest(string_split({KEYABLE}, ' ')) AS word FROM documents), v AS (SELECT unnest({_quoted(KNOWN_WORDS)}) AS known)
 SELECT word, min(known) AS fixed FROM t JOIN v ON abs(length(word) - length(known)) <= 1 AND levenshtein(word, known) = 1 WHERE length(word) >= 3 AND regexp_matches(word, '^[A-Z]+$') AND word NOT IN (SELECT known FROM v) GROUP BY word""")
 def fuzzy_fix(spark, sf_dir):
-    known = spark.createDataFrame([(w,) for w in sorted(WORDS)], "word string")
+    known = spark.createDataFrame([(w,) for w in sorted(KNOWN_WORDS)], "word string")
     words = table(spark, sf_dir, "documents").select(F.explode(F.split(keying.keyable(F.col("text")), " ")).alias("word")).where("length(word) >= 3 and word rlike '^[A-Z]+$'").distinct()
     return repair.nearest_words(words.join(F.broadcast(known), "word", "left_anti"), known)
 
@@ -637,7 +638,7 @@ def context_rules(spark, sf_dir):
 @query()
 def word_break(spark, sf_dir):
     """Known words of each conversation turn, run together and parted again."""
-    words = F.filter(F.split(keying.keyable(F.col("text")), " "), lambda w: F.array_contains(F.array(*[F.lit(k) for k in sorted(WORDS)]), w))
+    words = F.filter(F.split(keying.keyable(F.col("text")), " "), lambda w: F.array_contains(F.array(*[F.lit(k) for k in sorted(KNOWN_WORDS)]), w))
     x = turns(spark, sf_dir).select("rec", F.array_join(F.slice(words, 1, 12), "").alias("raw")).where("length(raw) >= 6")
     return repair.semantic_correct(x, "rec", "raw", phases=(repair_text.merged_words,)).select("rec", "raw", "text")
 
