@@ -39,6 +39,15 @@ def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit else df
 
 
+def hash_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """All rows of df, or about nine tenths of `most` chosen by a hash of columns: bounded whatever the number of tasks, and the same in every run."""
+    total = df.count()
+    if total <= most:
+        return df
+    limit = int(0.9 * most / total * (1 << 62))
+    return df.where(F.shiftrightunsigned(F.xxhash64(*columns), 2) < F.lit(limit).cast("long"))
+
+
 class Filter:
     """A Bloom filter of fixed size over int64 keys.  False hits only cost work: users re-check what passes."""
 

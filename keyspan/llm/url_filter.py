@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import hash_sample
+
 #: (rule string, verdict).  Text up to the first slash is the host, the rest the path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: At most so many labelled URLs are fetched to fit on.
@@ -132,12 +134,12 @@ def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE, id_col: str
 
     Null, empty and scheme-less urls have an empty host and path and are judged by the trees like others;
     without labelled urls of both kinds everything unruled gets the commoner label, or allow.  Repeated rows stay.
-    The sample to fit on is the `sample` smallest hashes of ruled urls (a top-k, not a sort).
+    The sample to fit on are ruled urls below a hash limit, `sample` at most.
     """
     host, path = split_url(url_col)
     base = pages.select(F.col(id_col), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     judged = base.withColumn("hit", ruled("host", "path", rules)).select(id_col, "url", "host", "path", "hit.rule", "hit.verdict")
-    got = judged.where("rule is not null").orderBy(F.xxhash64("url"), "url").limit(sample).select("url", "host", "path", "verdict").toArrow()
+    got = hash_sample(judged.where("rule is not null"), sample, "url").select("url", "host", "path", "verdict").toArrow().sort_by("url")
     blocked = np.array([v == "block" for v in got["verdict"].to_pylist()], bool)
     model = None
     if 0 < blocked.sum() < len(blocked):
