@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import hinted
+from .tables import hash_sample, hinted
 from .textscan import mix64, scan_words
 
 #: Word buckets, entries of context vectors, of index vectors pooled by themselves, words to each side.
@@ -136,13 +136,13 @@ def held_out(id_col: str) -> Column:
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, held_out, score, predicted) of every row of docs.
 
-    The sample to learn from are the labelled rows with the smallest id hashes; ids with several labels take the largest.
+    The sample to learn from are labelled rows below a hash limit, `sample` at most; ids with several labels take the largest.
     Without labels of both kinds every score is the share of label 1 (0.5 if there is none).  Null and empty texts get
     the score of an empty text; repeated rows stay.  The texts are read three times and never shuffled.
     """
     context = context_vectors(docs.select(text_col))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    known = hash_sample(known, sample, id_col)
     vectors = docs.sparkSession.sparkContext.broadcast(context)
 
     def train_rows(batches):
