@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Filter, components, hinted, written
-from .textscan import Words, grams, mix64, scan_words, signed
+from .textscan import Words, grams, mix64, scan_words, signed, slices
 
 K = 5
 #: Similarity as a ratio of integers.
 NUM, DEN = 75, 100
-SIGNATURE_BITS = 2048
+#: Bits of the bitmaps that trees combine, and of a node's own at most; own bitmaps have 8 bits or more for each shingle below that.
+TREE_BITS, OWN_BITS = 2048, 1 << 16
 #: A token in more prefixes than this counts as frequent; at most FREQUENT_MOST (the most frequent) are broadcast.
 FREQUENT, FREQUENT_MOST = 50, 1_000_000
 #: Nodes of a block in one tree; a larger block is cut and its parts are traversed against each other.
@@ -71,12 +72,43 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size - -(-size * NUM // DEN) + 1
 
 
-def signatures(docs: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Bitmaps, one bit for each shingle's hash."""
-    bits = np.zeros((n, SIGNATURE_BITS // 64), np.uint64)
-    place = (values >> np.uint64(17)) & np.uint64(SIGNATURE_BITS - 1)
-    np.bitwise_or.at(bits, (docs, (place >> np.uint64(6)).astype(int)), np.uint64(1) << (place & np.uint64(63)))
-    return bits
+def signatures(docs: np.ndarray, values: np.ndarray, n: int) -> list[bytes]:
+    """Bitmaps with a bit for each shingle's hash; a longer one folds to a shorter by OR of its parts."""
+    size = np.bincount(docs, minlength=n)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(8 * size, 2))).astype(int), TREE_BITS, OWN_BITS)
+    place = ((values >> np.uint64(17)) & (bits[docs] - 1).astype(np.uint64)).astype(np.int64)
+    end = np.cumsum(size)
+    out = []
+    for d in range(n):
+        marks = np.zeros(bits[d], np.uint8)
+        marks[place[end[d] - size[d] : end[d]]] = 1
+        out.append(np.packbits(marks, bitorder="little").tobytes())
+    return out
+
+
+def folded(raws: list[bytes], bits: int) -> np.ndarray:
+    """Bitmaps of `bits` bits or more, folded to that many, as rows of words."""
+    words = bits // 64
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(r, np.uint64).reshape(-1, words), axis=0) for r in raws]) if raws else np.zeros((0, words), np.uint64)
+
+
+def may_link(size: np.ndarray, raws: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs can reach the similarity, by sizes and by the bits that one bitmap has and the other lacks."""
+    ok = DEN * np.minimum(size[i], size[j]) >= NUM * np.maximum(size[i], size[j])
+    width = np.array([8 * len(r) for r in raws], np.int64)
+    common = np.minimum(width[i], width[j])
+    for w in np.unique(common[ok]):
+        at = np.flatnonzero(ok & (common == w))
+        for a in range(0, len(at), max(1, (1 << 24) // int(w))):
+            part = at[a : a + max(1, (1 << 24) // int(w))]
+            used, place = np.unique(np.r_[i[part], j[part]], return_inverse=True)
+            rows = folded([raws[k] for k in used], int(w))
+            ones = np.bitwise_count(rows).sum(1).astype(np.int64)
+            x, y = place[: len(part)], place[len(part) :]
+            both = np.bitwise_count(rows[x] & rows[y]).sum(1).astype(np.int64)
+            most = np.minimum(size[i[part]] - (ones[x] - both), size[j[part]] - (ones[y] - both))
+            ok[part] = (NUM + DEN) * most >= NUM * (size[i[part]] + size[j[part]])
+    return ok
 
 
 class SignatureTree:
@@ -134,8 +166,7 @@ def sets_table(docs: DataFrame) -> DataFrame:
                 n = w.hi - w.lo
                 d, v = chunk_sets(w)
                 size, s1, s2 = set_ids(d, v, n)
-                bits = signatures(d, v, n)
-                yield pa.record_batch([b.column(0).slice(w.lo, n), pa.array(size), pa.array(signed(s1)), pa.array(signed(s2)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIGNATURE_BITS // 8), n, [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())], names=["doc", "n", "s1", "s2", "bits"])
+                yield pa.record_batch([b.column(0).slice(w.lo, n), pa.array(size), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(signatures(d, v, n), pa.binary())], names=["doc", "n", "s1", "s2", "bits"])
 
     return docs.mapInArrow(scan, "doc long, n long, s1 long, s2 long, bits binary")
 
@@ -211,17 +242,6 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return two.mapInArrow(compare, "a long, b long")
 
 
-def may_link(size_a, bits_a, size_b, bits_b) -> np.ndarray:
-    """Whether pairs can reach the similarity, by sizes and by the bits that one bitmap has and the other lacks."""
-    both = np.bitwise_count(bits_a & bits_b).sum(1).astype(np.int64)
-    most = np.minimum(size_a - (np.bitwise_count(bits_a).sum(1) - both), size_b - (np.bitwise_count(bits_b).sum(1) - both))
-    return (NUM + DEN) * most >= NUM * (size_a + size_b)
-
-
-def bitmaps(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SIGNATURE_BITS // 64)
-
-
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps don't rule out."""
     own = nodes.select("s1", "n", "bits")
@@ -230,9 +250,11 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     sized = pairs.join(a.drop("xa"), "a").join(b.drop("xb"), "b").where(fits)
 
     def check(batches):
-        for t in batches:
-            n, x, m, y = t.column(2).to_numpy(), bitmaps(t.column(3)), t.column(4).to_numpy(), bitmaps(t.column(5))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(may_link(n, x, m, y)))
+        for t in slices(batches):
+            size = np.r_[t.column(2).to_numpy(), t.column(4).to_numpy()]
+            at = np.arange(t.num_rows)
+            ok = may_link(size, t.column(3).to_pylist() + t.column(5).to_pylist(), at, at + t.num_rows)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
     both = sized.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "xa", "nb", "xb")
     return both.mapInArrow(check, "a long, b long")
@@ -251,10 +273,12 @@ def tree_candidates(members: DataFrame, joined: DataFrame, nodes: DataFrame) ->
 
     def search(batches):
         def block(t: pa.Table):
-            part, s1 = t["part"].to_numpy(), t["s1"].to_numpy()
-            i, j = SignatureTree(t["n"].to_numpy(), bitmaps(t["bits"]), t["component"].to_numpy()).pairs()
+            part, s1, size, raws = t["part"].to_numpy(), t["s1"].to_numpy(), t["n"].to_numpy(), t["bits"].to_pylist()
+            i, j = SignatureTree(size, folded(raws, TREE_BITS), t["component"].to_numpy()).pairs()
             if t["p"][0].as_py() != t["q"][0].as_py():
                 i, j = i[part[i] != part[j]], j[part[i] != part[j]]
+            keep = may_link(size, raws, i, j)
+            i, j = i[keep], j[keep]
             return pa.record_batch({"a": np.maximum(s1[i], s1[j]), "b": np.minimum(s1[i], s1[j])})
 
         held = None

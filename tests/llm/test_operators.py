@@ -208,8 +208,11 @@ def test_tree_finds_all_pairs():
         keep = rng.random(len(sets[i])) < rng.uniform(0.7, 1)
         sets.append(np.unique(np.r_[sets[i][keep], rng.integers(0, 2**63, 10).astype(np.uint64)]))
     docs = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bits = shingle_join.signatures(docs, np.concatenate(sets), len(sets))
-    i, j = shingle_join.SignatureTree(np.array([len(s) for s in sets]), bits, np.arange(len(sets))).pairs()
+    raws = shingle_join.signatures(docs, np.concatenate(sets), len(sets))
+    size = np.array([len(s) for s in sets])
+    i, j = shingle_join.SignatureTree(size, shingle_join.folded(raws, shingle_join.TREE_BITS), np.arange(len(sets))).pairs()
+    keep = shingle_join.may_link(size, raws, i, j)
+    i, j = i[keep], j[keep]
     found = {frozenset(p) for p in zip(i.tolist(), j.tolist(), strict=True)}
     want = {frozenset((a, b)) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
     assert want and want <= found and len(found) < 300
