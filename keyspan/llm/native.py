@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from ..functions.columns import let
 
+__all__ = ["each_run", "folded_words", "let", "plain_words"]
 
-def let(value: Column, body) -> Column:
-    """body(value) with value worked out once: a lambda variable, so the optimizer can't copy the expression into inner loops."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def plain_words(text) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 import numpy as np
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file:///tmp/keyspan-shared-{spark.sparkContext.applicationId}"
+        local = f"/tmp/keyspan-shared-{spark.sparkContext.applicationId}"
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
