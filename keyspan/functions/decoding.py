@@ -433,6 +433,67 @@ def decode_states(states: np.ndarray, fs: float) -> dict | None:
     return {"text": text, "score": decode_score(text, float(states.mean()), k.marks, dit, dah), "dit": dit, "dah": dah, "wpm": 1200 / dit, "duty_cycle": float(states.mean())}
 
 
+def iterated(env: np.ndarray, fs: float, rounds: int = 3) -> dict | None:
+    """Decodes anew with the threshold moved by the dit that was found, until the text stays or is good."""
+    best, factor = None, 1.0
+    for _ in range(rounds):
+        got = decode_envelope(env, fs, factor)
+        if got is None or best is not None and got["text"] == best["text"]:
+            break
+        best = got if best is None or got["score"] > best["score"] else best
+        if best["score"] >= 0.9:
+            break
+        factor = min(max(0.9 * got["dit"] / (env.max() + 1e-8), 0.5), 2.0)
+    return best
+
+
+def joined_fragments(segs: list[tuple[int, float]], gap_ms: float) -> list[tuple[int, float]]:
+    """Marks parted by one space shorter than gap_ms become one mark."""
+    out: list[tuple[int, float]] = []
+    for state, d in segs:
+        if state == 1 and len(out) >= 2 and out[-1][0] == 0 and out[-1][1] < gap_ms and out[-2][0] == 1:
+            gap, mark = out.pop()[1], out.pop()[1]
+            out.append((1, mark + gap + d))
+        else:
+            out.append((state, d))
+    return out
+
+
+def without_ripple(segs: list[tuple[int, float]], rounds: int = 20) -> list[tuple[int, float]]:
+    """Where at least 3 in 10 marks last less than 1 ms, tiny triplets are absorbed until none is left."""
+
+    def coalesced(x):
+        out: list[list] = []
+        for s, d in x:
+            if out and out[-1][0] == s:
+                out[-1][1] += d
+            else:
+                out.append([s, d])
+        return out
+
+    merged = coalesced(segs)
+    marks = [d for s, d in merged if s == 1]
+    long = [d for d in marks if d > 50]
+    limit = min(0.15 * float(np.median(long)), 15.0) if len(long) >= 3 else 0.0
+    if len(segs) < 3 or len(marks) < 5 or sum(d < 1 for d in marks) < 0.3 * len(marks) or limit < 3:
+        return list(segs)
+    for _ in range(rounds):
+        out, i = [], 0
+        while i < len(merged):
+            tri = merged[i : i + 3]
+            tiny = [d < limit for _, d in tri]
+            if len(tri) == 3 and (tri[0][0] == 1 and all(tiny) or tri[0][0] == 0 and tiny[1] and tiny[2]):
+                out.append([tri[0][0], sum(d for _, d in tri)])
+                i += 3
+            else:
+                out.append(merged[i])
+                i += 1
+        if len(out) == len(merged):
+            break
+        merged = out
+    return [(s, d) for s, d in coalesced(merged)]
+
+
 def fading(env: np.ndarray, fs: float, window_ms: float = 400.0) -> float:
     m = max(int(window_ms / 1000 * fs), 8)
     if len(env) < 4 * m:

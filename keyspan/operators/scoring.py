@@ -48,6 +48,22 @@ def contest_like(text: Column) -> Column:
     return (cut >= 2) & (serial >= 2) & ((tu >= 1) | (cut >= 3))
 
 
+def contest_quality(text: Column) -> Column:
+    """0 to 1 for an exchange whose run-ons are split: spacing, then capped counts of reports, TU, serials and calls, lowered for one letter."""
+    from ..functions.columns import let
+
+    def rate(t):
+        spacing = (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))) / F.greatest(F.length(t), F.lit(1))
+        q = F.when(spacing >= 0.08, 0.35).when(spacing >= 0.04, 0.15).otherwise(0.0)
+        for cap, each, pattern in ((0.25, 0.05, r"\b5NN\b"), (0.15, 0.03, r"\bTU\b"), (0.15, 0.03, r"\b[0-9]{3,4}\b"), (0.20, 0.04, r"\b(?:[A-Z]{1,2}[0-9]+[A-Z]{1,4}|[A-Z][0-9]{2}[A-Z]{1,4})\b")):
+            q = q + F.least(F.lit(cap), each * F.regexp_count(t, F.lit(pattern)))
+        mono = dominant_letter(t)
+        q = F.least(F.lit(1.0), q * F.when(mono > 0.45, 0.3).when(mono > 0.35, 0.6).otherwise(1.0))
+        return F.when(F.length(F.regexp_replace(t, "[^A-Za-z0-9]", "")) < 8, 0.0).otherwise(q)
+
+    return let(text, rate)
+
+
 def serials(text: Column) -> Column:
     """Distinct numbers of 3 or 4 digits right after a cut report."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(r"[15E]NN ?([0-9]{3,4})"), F.lit(1))))
@@ -80,6 +96,19 @@ def decode_score(text: Column, duty: Column, dit: Column, dah: Column, regularit
     return clamp(score * plausibility(text), 0.0, 1.0)
 
 
+def repaired_score(text: Column, raw: Column, score: Column, duty: Column, wpm: Column, ratio: Column) -> Column:
+    """Score of a repaired text: as a decode's without regularity and garble, a steeper duty; raised where run-on text got readable spacing."""
+    solid = F.replace(text, F.lit(" "), F.lit(""))
+    valid = F.length(F.replace(solid, F.lit("?"), F.lit("")))
+    s = valid / F.greatest(F.length(solid), F.lit(1)) * clamp(1 - 1.5 * F.abs(duty - 0.4), 0.3, 1.0) * speed_weight(wpm) * ratio_weight(ratio)
+    s = F.when(valid < 10, s * valid / 10.0).otherwise(s)
+    kinds = F.size(F.array_distinct(F.filter(F.split(F.replace(solid, F.lit("?"), F.lit("")), ""), lambda c: c != "")))
+    s = s * F.when((valid > 3) & (kinds / F.least(F.greatest(valid, F.lit(1)), F.lit(26)) < 0.15), 0.5).otherwise(1.0) * plausibility(text)
+    spacing = lambda t: (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))) / F.greatest(F.length(t), F.lit(1))
+    opened = (spacing(raw) < 0.04) & (spacing(text) >= 0.08) & (plausibility(text) >= 0.9) & (dominant_letter(text) < 0.30)
+    return clamp(F.when(opened, F.least(F.lit(1.0), F.greatest(s, score) + 0.18) * 1.05).otherwise(s), 0.0, 1.0)
+
+
 def best_hypotheses(hyps: DataFrame, key: str, k: int) -> DataFrame:
     """The k best rows of each key by score, smaller id first among equals."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), "hyp_id")

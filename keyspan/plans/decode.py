@@ -110,7 +110,7 @@ def consensus(hyps: DataFrame) -> DataFrame:
 def decode(recordings: DataFrame, force_freq: float | None = None, force_wpm: float | None = None, reference: str | None = None, correct: bool = True) -> DataFrame:
     """One result row a recording.  force_wpm is taken and, as ever, not used.
 
-    The agreed hypothesis wins where texts agree and it isn't clearly worse than the best by key; text_raw is before repair.
+    A repaired text is scored anew, also where that is lower.  The agreed hypothesis wins where texts agree and it isn't clearly worse than the best by key; text_raw is before repair.
     A recording without a hypothesis has an empty text and an error.
     """
     from ..operators.repair import semantic_correct
@@ -126,6 +126,8 @@ def decode(recordings: DataFrame, force_freq: float | None = None, force_wpm: fl
         out = semantic_correct(out.drop("text"), "rec_id", "text_raw")
     else:
         out = out.withColumn("text", F.col("text_raw")).withColumn("corrections", F.array().cast("array<struct<pos:int,original:string,corrected:string,type:string>>"))
+    again = scoring.repaired_score(F.col("text"), F.col("text_raw"), F.col("score"), F.col("duty_cycle"), F.col("wpm"), F.col("dah") / F.greatest("dit", F.lit(1.0)))
+    out = out.withColumn("score", F.when(F.size("corrections") > 0, again).otherwise(F.col("score")))
     out = out.select(
         "rec_id", "text", "text_raw", "score", "freq", "freq_initial", "snr_db", F.round("wpm", 1).alias("wpm"), F.round("dit", 1).alias("dit_ms"), F.round("dah", 1).alias("dah_ms"),
         F.lit("standard").alias("method"), F.size("corrections").alias("corrections"), F.when(F.col("score").isNull(), "no candidate tone").alias("error"),

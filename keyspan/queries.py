@@ -12,7 +12,7 @@ from .functions.codes import CODE_OF, PLAUSIBLE
 from .functions.vocabulary import CALL_PATTERN, KNOWN_CALLS, USUAL_REPORTS
 from .functions.vocabulary import WORDS as KNOWN_WORDS
 from .operators import binarize, keying, repair, scoring, series, spectral, timing
-from .plans import decode
+from .plans import contest, decode
 from .sources import audio
 from .streaming import channels
 
@@ -562,6 +562,27 @@ ORACLE_SQL["contest_runon"] = f"""WITH x AS (SELECT c_custkey, {EXCHANGE} || ' R
 SELECT c_custkey, array_to_string(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '' AND NOT regexp_matches(w, '{repair_text.NOISE.pattern}')), ' ') AS text FROM y"""
 
 
+MONO_OF = "CASE WHEN length(l) >= 8 THEN list_max(list_transform(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''), lambda c: length(l) - length(replace(l, c, '')))) / length(l) ELSE 0 END"
+
+
+@query(f"""WITH x AS ({ORACLE_SQL["contest_runon"]}), y AS (SELECT c_custkey, text AS t, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l, (length(text) - length(replace(text, ' ', ''))) / greatest(length(text), 1) AS sp FROM x),
+z AS (SELECT *, {MONO_OF} AS mono, CASE WHEN sp >= 0.08 THEN 0.35 WHEN sp >= 0.04 THEN 0.15 ELSE 0 END::DOUBLE + least(0.25, 0.05::DOUBLE * len(regexp_extract_all(t, '\\b5NN\\b'))) + least(0.15, 0.03::DOUBLE * len(regexp_extract_all(t, '\\bTU\\b')))
+  + least(0.15, 0.03::DOUBLE * len(regexp_extract_all(t, '\\b[0-9]{{3,4}}\\b'))) + least(0.20, 0.04::DOUBLE * len(regexp_extract_all(t, '\\b(?:[A-Z]{{1,2}}[0-9]+[A-Z]{{1,4}}|[A-Z][0-9]{{2}}[A-Z]{{1,4}})\\b'))) AS q FROM y)
+SELECT c_custkey, round(CASE WHEN length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) < 8 THEN 0 ELSE least(1, q * CASE WHEN mono > 0.45 THEN 0.3 WHEN mono > 0.35 THEN 0.6 ELSE 1 END::DOUBLE) END, 6) AS quality FROM z""")
+def contest_quality(spark, sf_dir):
+    split = contest_runon(spark, sf_dir)
+    return split.select("c_custkey", F.round(scoring.contest_quality(F.col("text")), 6).alias("quality"))
+
+
+@query()
+def contest_transcript(spark, sf_dir):
+    """An exchange keyed for each nation, decoded in overlapping windows and stitched."""
+    k = F.col("n_nationkey")
+    text = F.format_string("YO%dAAC 5NN %04d TU DL%dABC 5NN %04d TU", k % 10, 2000 + k, (k + 3) % 10, 2001 + k)
+    n = table(spark, sf_dir, "nation").select(k.cast("string").alias("id"), text.alias("t")).repartition(8)
+    return rounded(contest.transcript(audio.synthesized(n, "id", "t", 4000, 700.0, 25.0), 700.0, 16.0, 9.0), "score", places=4)
+
+
 @query(f"""WITH n AS (SELECT p_partkey, lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS n FROM part), u(r) AS (VALUES {", ".join(f"('{r}')" for r in USUAL_REPORTS)}),
 c AS (SELECT p_partkey, n, r, CASE WHEN n[2:3] = r[2:3] THEN 1 WHEN n[1:1] || n[3:3] = r[1:1] || r[3:3] THEN 2 WHEN n[1:2] = r[1:2] THEN 3 END AS j FROM n, u)
 SELECT p_partkey, coalesce(CASE WHEN count(*) FILTER (n = r) > 0 THEN any_value(n) ELSE arg_min(r, (j, r)) FILTER (j IS NOT NULL) END, any_value(n)) AS report FROM c GROUP BY p_partkey""")
