@@ -111,6 +111,34 @@ def may_link(size: np.ndarray, raws: list[bytes], i: np.ndarray, j: np.ndarray)
     return ok
 
 
+def forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of edges (i, j) that join all labels the edges can join, none twice: each label takes its first edge by `order`, again and again."""
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    _, label = np.unique(label, return_inverse=True)
+    left, chosen = np.arange(len(i)), []
+    while True:
+        a, b = label[i[left]], label[j[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            return np.unique(np.concatenate(chosen)) if chosen else left
+        n = int(label.max()) + 1
+        first = np.full(n, len(rank), np.int64)
+        np.minimum.at(first, a, rank[left])
+        np.minimum.at(first, b, rank[left])
+        has = np.flatnonzero(first < len(rank))
+        edge = order[first[has]]
+        chosen.append(np.unique(edge))
+        x, y = label[i[edge]], label[j[edge]]
+        parent = np.arange(n)
+        parent[has] = np.where(x == has, y, x)
+        both = parent[parent] == np.arange(n)  # two labels that took the same edge
+        parent[both & (np.arange(n) < parent)] = np.flatnonzero(both & (np.arange(n) < parent))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
 class SignatureTree:
     """Nodes of FAN children over sets sorted by size: combined bitmap, size range, component if there is only one."""
 
@@ -158,7 +186,7 @@ class SignatureTree:
 
 
 def sets_table(docs: DataFrame) -> DataFrame:
-    """(doc, n, s1, s2, bits) of each row of docs (doc, text)."""
+    """(doc, n, s1, s2, bits, small) of each row of docs (doc, text); small is bits folded for trees."""
 
     def scan(batches):
         for b in batches:
@@ -166,9 +194,11 @@ def sets_table(docs: DataFrame) -> DataFrame:
                 n = w.hi - w.lo
                 d, v = chunk_sets(w)
                 size, s1, s2 = set_ids(d, v, n)
-                yield pa.record_batch([b.column(0).slice(w.lo, n), pa.array(size), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(signatures(d, v, n), pa.binary())], names=["doc", "n", "s1", "s2", "bits"])
+                raws = signatures(d, v, n)
+                small = [r.tobytes() for r in folded(raws, TREE_BITS)]
+                yield pa.record_batch([b.column(0).slice(w.lo, n), pa.array(size), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(raws, pa.binary()), pa.array(small, pa.binary())], names=["doc", "n", "s1", "s2", "bits", "small"])
 
-    return docs.mapInArrow(scan, "doc long, n long, s1 long, s2 long, bits binary")
+    return docs.mapInArrow(scan, "doc long, n long, s1 long, s2 long, bits binary, small binary")
 
 
 def prefix_tokens(docs: DataFrame, frequent=None) -> DataFrame:
@@ -260,25 +290,33 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def tree_candidates(members: DataFrame, joined: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in different components that the signature trees of the blocks (token, s1) leave over."""
+def tree_candidates(members: DataFrame, joined: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that the signature trees of the blocks (token, s1) leave over.
+
+    Not every: only as many pairs of a block as can join its components, the likeliest first, so what a block gives is linear in it.
+    """
     rows = members.join(joined.select(F.col("node").alias("s1"), "component"), "s1", "left").select("token", "s1", F.coalesce("component", "s1").alias("component"))
     blocks = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("s1")).alias("x"), F.bit_xor(F.xxhash64("s1", F.lit(1))).alias("y"))
     # blocks of two were compared already; blocks with the same nodes are one block
     blocks = blocks.where("size > 2 and low < high").groupBy("size", "x", "y").agg(F.min("token").alias("token"))
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.join(blocks.select("token", parts.alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("s1"), F.col("parts")).cast("int"))
-    rows = rows.join(nodes.select("s1", "n", "bits"), "s1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "s1", "component", "n", "bits")
+    rows = rows.join(nodes.select("s1", "n", "small"), "s1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "s1", "component", "n", "small")
 
     def search(batches):
         def block(t: pa.Table):
-            part, s1, size, raws = t["part"].to_numpy(), t["s1"].to_numpy(), t["n"].to_numpy(), t["bits"].to_pylist()
-            i, j = SignatureTree(size, folded(raws, TREE_BITS), t["component"].to_numpy()).pairs()
+            part, s1, size, component = t["part"].to_numpy(), t["s1"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy()
+            bits = folded(t["small"].to_pylist(), TREE_BITS)
+            i, j = SignatureTree(size, bits, component).pairs()
             if t["p"][0].as_py() != t["q"][0].as_py():
                 i, j = i[part[i] != part[j]], j[part[i] != part[j]]
-            keep = may_link(size, raws, i, j)
-            i, j = i[keep], j[keep]
+            if not every and len(i):
+                ones = np.bitwise_count(bits).sum(1).astype(np.int64)
+                both = np.concatenate([np.bitwise_count(bits[i[a : a + 32768]] & bits[j[a : a + 32768]]).sum(1) for a in range(0, len(i), 32768)]).astype(np.int64)
+                alike = (64 * both / np.maximum(ones[i] + ones[j] - both, 1)).astype(np.int64)
+                keep = forest(component, i, j, np.lexsort((np.maximum(s1[i], s1[j]), np.minimum(s1[i], s1[j]), -alike)))
+                i, j = i[keep], j[keep]
             return pa.record_batch({"a": np.maximum(s1[i], s1[j]), "b": np.minimum(s1[i], s1[j])})
 
         held = None
@@ -305,7 +343,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     table = written(sets_table(docs), "sets")
-    nodes = written(table.where("n > 0").groupBy("s1").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
+    nodes = written(table.where("n > 0").groupBy("s1").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("small").alias("small")), "nodes")
     tokens = written(prefix_tokens(docs, frequent_tokens(docs)), "tokens")
     shared = Filter.over(tokens.groupBy("token").count().where("count > 1"), "token")
 
@@ -319,9 +357,15 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     pairs = members.where("s1 <> low").select(F.col("s1").alias("a"), F.col("low").alias("b")).distinct()
     pairs = written(plausible(written(pairs, "pairs"), nodes), "plausible")
     links = written(verified(docs, pairs, nodes), "links")
-    more = written(tree_candidates(members.select("token", "s1"), components(links), nodes), "pairs")
-    links = written(links.unionByName(verified(docs, more, nodes)), "links")
-    groups = components(links)
+    groups, members = written(components(links), "groups"), members.select("token", "s1")
+    for every in (False, True):  # the likeliest pairs join nearly all; then whatever pair is left between components
+        more = tree_candidates(members, groups, nodes, every).join(pairs, ["a", "b"], "left_anti")
+        more = written(plausible(written(more, "pairs"), nodes), "plausible")
+        if not more.take(1):
+            continue
+        pairs = pairs.unionByName(more)
+        links = written(links.unionByName(verified(docs, more, nodes)), "links")
+        groups = written(components(links), "groups")
     least = groups.join(nodes.select("s1", "doc"), groups.node == F.col("s1")).groupBy("component").agg(F.min("doc").alias("component_id"))
     named = written(groups.join(least, "component").select(F.col("node").alias("s1"), "component_id"), "groups")
     label = nodes.select("s1", "doc").join(named, "s1", "left").select("s1", F.coalesce("component_id", "doc").alias("component_id"))
