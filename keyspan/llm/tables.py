@@ -15,8 +15,8 @@ from .textscan import mix64
 
 #: A side of a join is broadcast only if a count shows at most so many (narrow) rows.
 BROADCAST_ROWS = 100_000
-#: Bits of a membership filter, whatever the input's size: 16 MB.
-FILTER_BITS = 1 << 27
+#: Bits of a membership filter for each key, and of all at most: 16 MB, whatever the input's size.
+KEY_BITS, FILTER_BITS = 64, 1 << 27
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,31 +53,36 @@ def hash_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
 
 
 class Filter:
-    """A Bloom filter of fixed size over int64 keys.  False hits only cost work: users re-check what passes."""
+    """A Bloom filter of bounded size over int64 keys.  False hits only cost work: users re-check what passes."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @staticmethod
-    def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         a = mix64(keys.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
-        bits = np.uint64(FILTER_BITS - 1)
-        return a & bits, (a >> np.uint64(32)) & bits
+        mask = np.uint64(bits - 1)
+        return a & mask, (a >> np.uint64(32)) & mask
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         hit = np.ones(len(keys), bool)
-        for p in self.places(keys):
+        for p in self.places(keys, 64 * len(self.words)):
             hit &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
         return hit
 
     @classmethod
     def over(cls, df: DataFrame, column: str):
-        """Built on the executors and OR-ed by word; the driver gets at most FILTER_BITS / 64 words.  Returns a Spark broadcast."""
+        """Built on the executors and OR-ed by word; the driver gets at most FILTER_BITS / 64 words.  Returns a Spark broadcast.
+
+        The keys are written out first, so that they are made once and their number sets the size.
+        """
+        keys_only = written(df.select(F.col(column).alias("k")), "keys")
+        bits = min(FILTER_BITS, 1 << max(12, (KEY_BITS * keys_only.count()).bit_length()))
 
         def marks(batches):
             for b in batches:
                 keys = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-                p = np.concatenate(cls.places(keys))
+                p = np.concatenate(cls.places(keys, bits))
                 word, mask = (p >> np.uint64(6)).astype(np.int32), np.uint64(1) << (p & np.uint64(63))
                 order = np.argsort(word, kind="stable")
                 word, mask = word[order], mask[order]
@@ -85,8 +90,8 @@ class Filter:
                 if len(first):
                     yield pa.record_batch({"word": word[first], "mask": np.bitwise_or.reduceat(mask, first).view(np.int64)})
 
-        rows = df.select(column).mapInArrow(marks, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        words = np.zeros(FILTER_BITS // 64, np.uint64)
+        rows = keys_only.mapInArrow(marks, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        words = np.zeros(bits // 64, np.uint64)
         words[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
         return df.sparkSession.sparkContext.broadcast(cls(words))
 
