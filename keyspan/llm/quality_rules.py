@@ -19,12 +19,13 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 #: Share of rows in the estimate, steps, least rows for an estimate of their own, accuracy of quantiles.
 CORE, STEPS, LEAST, ACCURACY = 0.75, 4, 200, 10_000
-#: Squared distance beyond which a row is rejected, after scaling: chi-square with 5 degrees of freedom, probability 1e-9.
-CUT = 52.1
+#: Squared distance beyond which a row is rejected, after scaling: chi-square with 5 degrees of freedom, probability 1e-6.
+CUT = 35.9
 #: Median of chi-square with 5 degrees of freedom, to which the core's distances are scaled.
 MEDIAN = 4.351
-#: Least standard deviation of each entry of the vector: rare marks are not outliers by themselves.
-FLOORS = (0.15, 0.10, 0.10, 0.10, 0.35)
+#: Least standard deviation of each entry of the vector.  Clean texts have no symbols and mostly no repeats, so their core has no
+#: spread of its own there: beyond the cut by themselves are 3 % symbols, 3 repeated lines in 100 words, 23 % repeated words.
+FLOORS = (0.02, 0.03, 0.06, 0.08, 0.10)
 VECTOR = ("v1", "v2", "v3", "v4", "v5")
 
 

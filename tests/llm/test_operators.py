@@ -92,6 +92,13 @@ def test_rejected_documents_are_mostly_bad(spark, sf_dir):
     assert good > 0.99
 
 
+def test_junk_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    r = quality_rules.judge(docs).join(labels, "doc_id").where("not base_failed and quality = 0").agg(F.count("*"), F.avg(F.col("kept").cast("double"))).first()
+    assert r[0] > 20 and r[1] < 0.1
+
+
 def test_outliers_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, (600, 5)) * [0.3, 0.4, 0.4, 0.4, 0.8] + [1.6, 1, 1, 1, 6]
