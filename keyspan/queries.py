@@ -658,9 +658,9 @@ def context_rules(spark, sf_dir):
 
 @query()
 def word_break(spark, sf_dir):
-    """Known words of each conversation turn, run together and parted again."""
+    """All known words of each conversation turn that has any, run together and parted again."""
     words = F.filter(F.split(keying.keyable(F.col("text")), " "), lambda w: F.array_contains(F.array(*[F.lit(k) for k in sorted(KNOWN_WORDS)]), w))
-    x = turns(spark, sf_dir).select("rec", F.array_join(F.slice(words, 1, 12), "").alias("raw")).where("length(raw) >= 6")
+    x = turns(spark, sf_dir).select("rec", F.array_join(words, "").alias("raw")).where("raw <> ''")
     return repair.semantic_correct(x, "rec", "raw", phases=(repair_text.merged_words,)).select("rec", "raw", "text")
 
 
