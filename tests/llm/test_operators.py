@@ -57,6 +57,20 @@ def test_joins_and_repeats(name, request):
     assert got == brute.without_repeats(rows)
 
 
+def test_license_texts_keep_apart(spark):
+    cc = "This work is licensed under a Creative Commons Attribution{} International License."
+    cases = [(t, label) for label, t in license_scan.TEMPLATES] + [
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Released under the GNU General Public License, version 2 or later", "gpl"), ("licensed under the GNU GPL, version 3", "gpl"),
+        ("licensed under the GNU Lesser General Public License, version 3", "lgpl"), ("licensed under the GNU Affero General Public License, version 3", ""), ("licensed under the GNU LGPL version 3", "lgpl"),
+        (cc.format(" 4.0"), "cc-by"), (cc.format("-ShareAlike 4.0"), "cc-by-sa"), (cc.format("-NonCommercial 4.0"), "cc-by-nc"), (cc.format("-NoDerivatives 4.0"), ""), (cc.format("-NonCommercial-ShareAlike 4.0"), ""), (cc.format(" 3.0"), "cc-by"),
+        (cc.format(" 4.0") + " And another part: " + cc.format("-ShareAlike 4.0"), "cc-by,cc-by-sa"), (cc.format(" 4.0").replace("is", "is hereby"), "cc-by"),
+        (license_scan.TEMPLATES[1][1].replace("apache", "educational community"), ""),
+    ]
+    df = spark.createDataFrame([(i, f"w {t} w") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(df).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == cases
+
+
 def test_contamination(spark, documents, awkward):
     items = [(1, " ".join(WORDS[5:25])), (2, "mit license"), (3, None), (10, LONG[:300]), (11, "zzz yyy"), (2, "mit license")]
     bench = spark.createDataFrame(items, "item_id long, text string")
