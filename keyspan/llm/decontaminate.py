@@ -31,17 +31,36 @@ def windows(words: Column, lengths: list[int]) -> Column:
     return let(words, lambda w: F.concat(*[runs(w, n) for n in lengths]))
 
 
-def covered(hits: Column) -> Column:
-    """Number of words in the union of runs, given a sorted array of (start, length)."""
-    step = lambda a, x: F.struct(
-        (a.n + F.greatest(F.lit(0), x.start + x.length - F.greatest(a.upto, x.start))).alias("n"),
-        F.greatest(a.upto, x.start + x.length).alias("upto"),
+def merged(hits: Column) -> Column:
+    """Disjoint spans (start, upto), upto being the word after, of a sorted array of runs (start, length)."""
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("upto"))
+    fresh = lambda x: span(x.start, x.start + x.length)
+    # the open span is carried beside the closed ones, so that a step touches one element
+    step = lambda a, x: F.when(a.open.upto >= x.start, F.struct(a.done.alias("done"), span(a.open.start, F.greatest(a.open.upto, x.start + x.length)).alias("open"))).otherwise(
+        F.struct(F.concat(a.done, F.array(a.open)).alias("done"), fresh(x).alias("open"))
     )
-    return F.aggregate(hits, F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), step, lambda a: a.n)
+    start = F.struct(F.array().cast("array<struct<start:int,upto:int>>").alias("done"), fresh(F.get(hits, F.lit(0))).alias("open"))
+    return F.aggregate(hits, start, step, lambda a: F.concat(a.done, F.array(a.open)))
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """text without the words in spans (start, upto), each with the separators before it; all else stays as it was."""
+    apart = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+
+    def kept(words):
+        last = F.size(spans)
+        begin = lambda i: F.when(i == 0, 1).otherwise(F.get(spans, i - 1).upto)
+        end = lambda i: F.when(i == last, F.size(words) + 1).otherwise(F.get(spans, i).start)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, begin(i), end(i) - begin(i)))), "")
+
+    words = let(F.regexp_extract_all(text, F.lit(f"[{apart}]*[^{apart}]+"), F.lit(0)), kept)
+    return F.concat(words, F.regexp_extract(text, f"([{apart}]*)$", 1))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, items) of every row; items are the ids (as strings, sorted) whose windows occur.
+    """(id, th, n_words, n_hit, items, spans) of every row; items are the ids (as strings, sorted) whose windows occur.
+
+    spans are the runs of words hit, disjoint, as (start, upto) from 1; th is the text's hash.
 
     An item with fewer than `span` words, but not none, is one window; such lengths (at most span - 1) are looked up whole.
     Rows are told apart by id and text hash: repeated rows stay and get the same result, null ids are an id of their own.
@@ -67,10 +86,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     runs = text.select("id", "th", F.explode(windows(folded_words(F.col("text")), [*shorter, span])).alias("x")).select("id", "th", "x.*")
     found = runs.join(hinted(spans), ["length", "window"])
     per = found.groupBy("id", "th").agg(F.collect_set(F.struct("start", "length")).alias("runs"), F.collect_set("item").alias("items"))
-    per = per.select(F.col("id").alias("sid"), F.col("th").alias("sth"), covered(F.array_sort("runs")).cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
+    per = per.select(F.col("id").alias("sid"), F.col("th").alias("sth"), merged(F.array_sort("runs")).alias("spans"), F.array_sort("items").alias("items"))
     out = seen.join(hinted(per), F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select(F.col("id").alias(id_col), "th", F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x.upto - x.start)
+    none = F.array().cast("array<struct<start:int,upto:int>>")
+    return out.select(F.col("id").alias(id_col), "th", F.col("n").cast("long").alias("n_words"), F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"))
 
 
 def contaminated(share: int = 20) -> Column:

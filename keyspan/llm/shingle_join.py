@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Filter, components, hinted, written
+from .tables import Filter, components, dropped, hot_keys, rows_of, spread_join, written
 from .textscan import Words, grams, mix64, scan_words, signed, slices
 
 K = 5
@@ -67,6 +67,15 @@ def set_ids(docs: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, n
     return tuple(out)
 
 
+def node_ids(docs: np.ndarray, values: np.ndarray, n: int, renamed: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(size, id) of n sets: the first id, or the one that `renamed` gives to both ids where unequal sets met in the first."""
+    size, s1, s2 = set_ids(docs, values, n)
+    if renamed:
+        for d in np.flatnonzero(np.isin(signed(s1), np.array([a for a, _ in renamed], np.int64))):
+            s1[d] = np.uint64(renamed.get((int(signed(s1)[d]), int(signed(s2)[d])), int(signed(s1)[d])) & (2**64 - 1))
+    return size, s1
+
+
 def prefix_length(size: np.ndarray) -> np.ndarray:
     """Tokens of a set of which a partner must have one: size - ceil(size * NUM / DEN) + 1."""
     return size - -(-size * NUM // DEN) + 1
@@ -186,7 +195,7 @@ class SignatureTree:
 
 
 def sets_table(docs: DataFrame) -> DataFrame:
-    """(doc, n, s1, s2, bits, small) of each row of docs (doc, text); small is bits folded for trees."""
+    """(doc, th, n, s1, s2, bits, small) of each row of docs (doc, text, th); small is bits folded for trees."""
 
     def scan(batches):
         for b in batches:
@@ -196,12 +205,39 @@ def sets_table(docs: DataFrame) -> DataFrame:
                 size, s1, s2 = set_ids(d, v, n)
                 raws = signatures(d, v, n)
                 small = [r.tobytes() for r in folded(raws, TREE_BITS)]
-                yield pa.record_batch([b.column(0).slice(w.lo, n), pa.array(size), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(raws, pa.binary()), pa.array(small, pa.binary())], names=["doc", "n", "s1", "s2", "bits", "small"])
+                yield pa.record_batch(
+                    [b.column(0).slice(w.lo, n), b.column(2).slice(w.lo, n), pa.array(size), pa.array(signed(s1)), pa.array(signed(s2)), pa.array(raws, pa.binary()), pa.array(small, pa.binary())],
+                    names=["doc", "th", "n", "s1", "s2", "bits", "small"],
+                )
+
+    return docs.mapInArrow(scan, "doc long, th long, n long, s1 long, s2 long, bits binary, small binary")
 
-    return docs.mapInArrow(scan, "doc long, n long, s1 long, s2 long, bits binary, small binary")
 
+def nodes_of(table: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """(table, nodes, renamed): a node is a set with its smallest document; ids of unequal sets that meet in s1 are told apart by s2.
 
-def prefix_tokens(docs: DataFrame, frequent=None) -> DataFrame:
+    Among N sets about N * N / 2 ** 65 meet: none among a billion, a few among 1e10.  All but the one with the smallest
+    s2 are renamed, here and wherever sets are made again.
+    """
+    renamed: dict = {}
+    while True:
+        nodes = written(
+            table.where("n > 0").groupBy("s1").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("small").alias("small"), F.min("s2").alias("s2"), F.max("s2").alias("s2_high")),
+            "nodes",
+        )
+        met = nodes.where("s2 < s2_high").select("s1", F.col("s2").alias("stays"))
+        more = table.where("n > 0").join(F.broadcast(met), "s1").where("s2 > stays").select("s1", "s2").distinct().collect() if met.take(1) else []
+        if not more:
+            return table, nodes, renamed
+        dropped(nodes)
+        for a, b in more:
+            key = np.array([a, b], np.int64).view(np.uint64)
+            renamed[a, b] = int(signed(mix64(key[:1] ^ mix64(key[1:] + np.uint64(len(renamed)))))[0])
+        new = table.sparkSession.createDataFrame([(a, b, x) for (a, b), x in renamed.items()], "s1 long, s2 long, new long")
+        table = table.join(F.broadcast(new), ["s1", "s2"], "left").withColumn("s1", F.coalesce("new", "s1")).drop("new")
+
+
+def prefix_tokens(docs: DataFrame, renamed: dict, frequent=None) -> DataFrame:
     """(token, s1): the prefix of each set, frequent tokens last if they are given, equal sets of a chunk once."""
 
     def scan(batches):
@@ -209,7 +245,7 @@ def prefix_tokens(docs: DataFrame, frequent=None) -> DataFrame:
             for w in scan_words(b.column(1), lower=True):
                 n = w.hi - w.lo
                 d, v = chunk_sets(w)
-                size, s1, _ = set_ids(d, v, n)
+                size, s1 = node_ids(d, v, n, renamed)
                 first_row = np.zeros(n, bool)
                 first_row[np.unique(s1, return_index=True)[1]] = True
                 if frequent is not None and len(known := frequent.value):
@@ -223,11 +259,11 @@ def prefix_tokens(docs: DataFrame, frequent=None) -> DataFrame:
     return docs.mapInArrow(scan, "token long, s1 long")
 
 
-def frequent_tokens(docs: DataFrame):
+def frequent_tokens(docs: DataFrame, renamed: dict):
     """A broadcast sorted array of the tokens in more than FREQUENT prefixes, the FREQUENT_MOST commonest at most.  Only the order of tokens depends on it."""
-    counts = written(prefix_tokens(docs).groupBy("token").count().where(F.col("count") > FREQUENT), "frequent")
+    counts = written(prefix_tokens(docs, renamed).groupBy("token").count().where(F.col("count") > FREQUENT), "frequent")
     least = FREQUENT
-    if counts.count() > FREQUENT_MOST:
+    if rows_of(counts) > FREQUENT_MOST:
         held = 0
         for c, n in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
             held += n
@@ -235,13 +271,14 @@ def frequent_tokens(docs: DataFrame):
                 least = c
                 break
     tokens = counts.where(F.col("count") > least).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64)
+    dropped(counts)
     return docs.sparkSession.sparkContext.broadcast(np.sort(tokens))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids that link: both sets are made again from the node's document and intersected."""
+def verified(docs: DataFrame, pairs: DataFrame, hot: DataFrame | None, nodes: DataFrame, renamed: dict) -> DataFrame:
+    """The pairs (a, b) of set ids that link, written: both sets are made again from the node's document and intersected."""
     ids = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct().join(nodes.select("s1", "doc"), "s1")
-    wanted = Filter.over(ids.select(F.col("doc").bitwiseXOR(F.col("s1")).alias("k")), "k")
+    wanted = Filter.over(ids.select(F.coalesce("doc", F.lit(0)).bitwiseXOR(F.col("s1")).alias("k")), "k")
 
     def scan(batches):
         for b in batches:
@@ -249,7 +286,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             for w in scan_words(b.column(1), lower=True):
                 n = w.hi - w.lo
                 d, v = chunk_sets(w)
-                size, s1, _ = set_ids(d, v, n)
+                size, s1 = node_ids(d, v, n, renamed)
                 at = np.flatnonzero((size > 0) & wanted.value.has(ids[w.lo : w.hi] ^ signed(s1)))
                 if len(at):
                     end = np.cumsum(size)
@@ -267,17 +304,19 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     sets = docs.mapInArrow(scan, "s1 long, tokens binary").dropDuplicates(["s1"])
-    one = pairs.join(sets.withColumnRenamed("tokens", "x"), pairs.a == F.col("s1")).drop("s1")
-    two = one.join(sets.withColumnRenamed("tokens", "y"), one.b == F.col("s1")).select("a", "b", "x", "y")
-    return two.mapInArrow(compare, "a long, b long")
+    one = pairs.join(sets.toDF("a", "x"), "a")
+    two = spread_join(one, sets.toDF("b", "y"), ["b"], hot).select("a", "b", "x", "y")
+    out = written(two.mapInArrow(compare, "a long, b long"), "links")
+    wanted.destroy()
+    return out
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps don't rule out."""
-    own = nodes.select("s1", "n", "bits")
+def plausible(pairs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(the written pairs (a, b) that sizes and bitmaps don't rule out, the hot ones of b).  Bitmaps of a hot b are read by several tasks."""
+    own, hot = nodes.select("s1", "n", "bits"), hot_keys(pairs, ["b"])
     a, b = own.toDF("a", "na", "xa"), own.toDF("b", "nb", "xb")
     fits = (DEN * F.least("na", "nb")) >= (NUM * F.greatest("na", "nb"))
-    sized = pairs.join(a.drop("xa"), "a").join(b.drop("xb"), "b").where(fits)
+    sized = spread_join(pairs.join(a.drop("xa"), "a"), b.drop("xb"), ["b"], hot).where(fits).select("a", "b")
 
     def check(batches):
         for t in slices(batches):
@@ -286,8 +325,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             ok = may_link(size, t.column(3).to_pylist() + t.column(5).to_pylist(), at, at + t.num_rows)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    both = sized.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "xa", "nb", "xb")
-    return both.mapInArrow(check, "a long, b long")
+    both = spread_join(sized.join(a, "a"), b, ["b"], hot).select("a", "b", "na", "xa", "nb", "xb")
+    return written(both.mapInArrow(check, "a long, b long"), "plausible"), hot
 
 
 def tree_candidates(members: DataFrame, joined: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
@@ -334,17 +373,25 @@ def tree_candidates(members: DataFrame, joined: DataFrame, nodes: DataFrame, eve
     return rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q").mapInArrow(search, "a long, b long").distinct()
 
 
-def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: the size of its set and the smallest id reachable by links, itself included.
+def merged_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, component), written anew after links (a, b): only the components that the links touch are walked through."""
+    up = groups.select("node", "component")
+    lifted = links.join(up.toDF("a", "ca"), "a", "left").join(up.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = written(components(lifted), "merged")
+    old = groups.join(merged.toDF("component", "low"), "component", "left").select("node", F.coalesce("low", "component").alias("component"))
+    new = merged.join(groups.select("node"), "node", "left_anti").select("node", "component")
+    out = written(old.unionByName(new), "groups")
+    dropped(merged, groups)
+    return out
 
-    Texts without words have no set and are linked with nothing.  Rows with equal ids are judged by their own texts; rows
-    with a null id have a set but take part in no link unless a row with an id has the same set.
-    Ids must be integers.  An empty table gives no rows.
-    """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    table = written(sets_table(docs), "sets")
-    nodes = written(table.where("n > 0").groupBy("s1").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("small").alias("small")), "nodes")
-    tokens = written(prefix_tokens(docs, frequent_tokens(docs)), "tokens")
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc, th, n, group, component_id) of every row of docs (doc, text, th); group is a number shared by a component's sets, null without words."""
+    table = made = written(sets_table(docs), "sets")
+    table, nodes, renamed = nodes_of(table)
+    frequent = frequent_tokens(docs, renamed)
+    tokens = written(prefix_tokens(docs, renamed, frequent), "tokens")
+    frequent.destroy()
     shared = Filter.over(tokens.groupBy("token").count().where("count > 1"), "token")
 
     def passing(batches):
@@ -352,22 +399,47 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
             yield b.filter(pa.array(shared.value.has(b.column(0).to_numpy())))
 
     rows = written(tokens.mapInArrow(passing, "token long, s1 long"), "shared")
+    shared.destroy()
+    dropped(tokens)
     blocks = rows.groupBy("token").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high")
     members = written(rows.join(blocks.select("token", "low"), "token").distinct(), "members")
-    pairs = members.where("s1 <> low").select(F.col("s1").alias("a"), F.col("low").alias("b")).distinct()
-    pairs = written(plausible(written(pairs, "pairs"), nodes), "plausible")
-    links = written(verified(docs, pairs, nodes), "links")
-    groups, members = written(components(links), "groups"), members.select("token", "s1")
+    dropped(rows)
+    first = written(members.where("s1 <> low").select(F.col("s1").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    pairs, hot = plausible(first, nodes)
+    links = verified(docs, pairs, hot, nodes, renamed)
+    groups, tried = written(components(links), "groups"), [pairs]
+    dropped(first, links)
     for every in (False, True):  # the likeliest pairs join nearly all; then whatever pair is left between components
-        more = tree_candidates(members, groups, nodes, every).join(pairs, ["a", "b"], "left_anti")
-        more = written(plausible(written(more, "pairs"), nodes), "plausible")
-        if not more.take(1):
-            continue
-        pairs = pairs.unionByName(more)
-        links = written(links.unionByName(verified(docs, more, nodes)), "links")
-        groups = written(components(links), "groups")
-    least = groups.join(nodes.select("s1", "doc"), groups.node == F.col("s1")).groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = written(groups.join(least, "component").select(F.col("node").alias("s1"), "component_id"), "groups")
-    label = nodes.select("s1", "doc").join(named, "s1", "left").select("s1", F.coalesce("component_id", "doc").alias("component_id"))
-    out = table.select("doc", "n", "s1").join(label, "s1", "left")
-    return out.select(F.col("doc").cast(dict(documents.dtypes)[id_col]).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+        more = tree_candidates(members.select("token", "s1"), groups, nodes, every)
+        for t in tried:
+            more = more.join(t, ["a", "b"], "left_anti")
+        more = written(more, "pairs")
+        if rows_of(more):
+            pairs, hot = plausible(more, nodes)
+            tried.append(pairs)
+            if rows_of(pairs):
+                links = verified(docs, pairs, hot, nodes, renamed)
+                groups = merged_groups(groups, links)
+                dropped(links)
+        dropped(more)
+    dropped(members, *tried)
+    low = groups.join(nodes.select("s1", "doc"), groups.node == F.col("s1")).groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = groups.join(low, "component").select(F.col("node").alias("s1"), "component", "component_id")
+    label = nodes.select("s1", "doc").join(named, "s1", "left").select("s1", F.coalesce("component", "s1").alias("group"), F.coalesce("component_id", "doc").alias("component_id"))
+    label = written(label, "labels")
+    own = spread_join(table.select("doc", "th", "n", "s1"), label, ["s1"], hot_keys(made, ["s1"]) if table is made else None, "left")
+    some = F.col("n") > 0
+    out = written(own.select("doc", "th", "n", F.when(some, F.col("group")).alias("group"), F.when(some, F.col("component_id")).otherwise(F.col("doc")).alias("component_id")), "grouped")
+    dropped(made, nodes, groups, label)
+    return out
+
+
+def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row: the size of its set and the smallest id reachable by links, itself included.
+
+    Texts without words have no set and are linked with nothing.  Rows with equal ids are judged by their own texts; rows
+    with a null id link like others, and have a null component if no row of it has an id.
+    Ids must be integers.  An empty table gives no rows.
+    """
+    docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    return grouped(docs).select(F.col("doc").cast(dict(documents.dtypes)[id_col]).alias(id_col), F.col("n").alias("n_shingles"), "component_id")

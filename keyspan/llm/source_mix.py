@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import hinted, written
+from .tables import dropped, hinted, written
 from .textscan import scan_words
 
 LEVELS, BITS = 5, 12  # 60 bits of the hash, 4096 buckets at a time
@@ -56,24 +56,30 @@ def targets(sizes: DataFrame, weights: tuple, share: float, cap: float) -> DataF
     return per.select("key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source_size, target, copies, taken) of every row.
+def hashed(id_: Column) -> Column:
+    """60 bits of an id's hash; a null id hashes as an empty string."""
+    digest = F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
-    A source below its target gives every row once and some a second time.  The hash is of the id,
-    so reruns agree; rows with equal ids are taken or left together, and of the boundary hash value
-    the nearer side is chosen.  Null ids hash as an empty string, a null source is a source of its own,
-    sources without words have target 0, an empty table gives no rows.
-    """
-    sized = word_counts(docs, id_col, text_col, source_col)
-    digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    rows = written(sized.select("id", "size", h.alias("h"), key.alias("key"), "source"), "mix-rows")
+
+def source_key(source: Column) -> Column:
+    """A name for each source, null too."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+
+
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, size, h, key, source) of every row, written."""
+    rows = word_counts(docs, id_col, text_col, source_col)
+    return written(rows.select("id", "size", hashed(F.col("id")).alias("h"), source_key(F.col("source")).alias("key"), "source"), "mix-rows")
+
+
+def thresholds(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(key, mix_size, mix_target, mix_base, mix_limit, mix_nearer): a row a source of sized rows, for copies()."""
     goal = targets(rows, weights, share, cap)
     goal = goal.withColumn("base", F.when(F.col("target") > F.col("source_size"), 1).otherwise(0))
     goal = written(goal.withColumn("budget", F.col("target") - F.col("base") * F.col("source_size")), "mix-goals")
     # (key, prefix, below): the bucket in which the budget ends and the words in the buckets before it
-    edge = goal.select("key", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
+    edge, made = goal.select("key", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below")), []
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         here = F.shiftright("h", shift + BITS) == F.col("prefix") if level > 1 else F.lit(True)
@@ -83,8 +89,28 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
         sums = sums.withColumn("upto", F.col("before") + run).where("upto > budget")
         first = sums.groupBy("key").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("below"), "budget", "n"), "bucket").alias("e"))
         edge = written(first.select("key", "e.budget", F.col("e.bucket").alias("prefix"), "e.below", "e.n"), "mix-edge")
-    at = edge.select("key", F.col("prefix").alias("limit"), ((F.col("below") + F.col("n") - F.col("budget")) < (F.col("budget") - F.col("below"))).alias("nearer"))
-    goal = goal.join(at, "key", "left")
-    extra = F.coalesce((F.col("h") < F.col("limit")) | ((F.col("h") == F.col("limit")) & F.col("nearer")), F.lit(True)).cast("int")
-    out = rows.join(hinted(goal), "key").withColumn("copies", F.col("base") + extra)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+        made.append(edge)
+    at = edge.select("key", F.col("prefix").alias("mix_limit"), ((F.col("below") + F.col("n") - F.col("budget")) < (F.col("budget") - F.col("below"))).alias("mix_nearer"))
+    out = goal.select("key", F.col("source_size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("base").alias("mix_base")).join(at, "key", "left")
+    out = written(out, "mix-thresholds")
+    dropped(goal, *made)
+    return out
+
+
+def copies(h: Column) -> Column:
+    """How often a row with hash h is taken, from the columns of its source's thresholds."""
+    extra = (h < F.col("mix_limit")) | ((h == F.col("mix_limit")) & F.col("mix_nearer"))
+    return F.col("mix_base") + F.coalesce(extra, F.lit(True)).cast("int")
+
+
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, size, source_size, target, copies, taken) of every row.
+
+    A source below its target gives every row once and some a second time.  The hash is of the id,
+    so reruns agree; rows with equal ids are taken or left together, and of the boundary hash value
+    the nearer side is chosen.  Null ids hash as an empty string, a null source is a source of its own,
+    sources without words have target 0, an empty table gives no rows.
+    """
+    rows = sized(docs, id_col, text_col, source_col)
+    out = rows.join(hinted(thresholds(rows, weights, share, cap)), "key").withColumn("copies", copies(F.col("h")))
+    return out.select(F.col("id").alias(id_col), "size", F.col("mix_size").alias("source_size"), F.col("mix_target").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -1,12 +1,15 @@
-"""Exact substring deduplication with prefix-partitioned suffix trees, built level by level.
-
-A suffix tree over word sequences is grown from the top and only where it can matter.  Level one: suffixes are
-split by a prefix of 5 words; of all suffixes only samples are entered, the ones whose prefix hash is the smallest of 9
-in a row, so every 13-word window has exactly one sample in it and equal windows have the same.  A prefix in one document
-only is a leaf.  Level two: under the prefixes left, suffixes are split by 13 words; a node with two documents or more
-is internal, and its smallest document and its other occurrences follow from one aggregate and one join by node.
-Runs of such occurrences are the maximal repeats.  Nodes are 128-bit path fingerprints, so a hot prefix isn't one
-task's tree: it is combined before the shuffle, and its occurrences may be split.
+"""Exact substring deduplication with prefix-partitioned suffix trees over words.
+
+Suffixes are split by a prefix of 5 words: the one with the smallest hash among the 9 that begin in a 13-word window, so equal
+windows are always under equal prefixes, and consecutive windows mostly under the same one.  All prefixes are counted first.
+
+* A prefix in one document only is a leaf: its suffixes can't repeat and never leave their task.
+* A prefix with at most GROUP windows is a group that fits memory.  Its documents send the words around the prefix once for a
+  run of windows, and the group's tree is built in one task: suffixes in lexical order with the common length of neighbours,
+  which are the tree's nodes.  Internal nodes of depth 13 are the repeats; the tree isn't grown further, as longer repeats
+  are runs of such nodes, which are merged to maximal ones in each document.
+* A prefix with more windows is lengthened to the whole 13 words.  Suffixes under such a prefix share all that matters, so no
+  tree is left to build: its smallest document is a minimum that is combined before the shuffle, and no task gathers it.
 """
 
 from __future__ import annotations
@@ -18,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Filter, written
+from .tables import Filter, dropped, hot_keys, rows_of, spread_join, written
 from .textscan import grams, mix64, scan_words, signed, slices, sliding_min
 
-#: Words of a window (depth of a reported node), and of the prefix that suffixes are sampled and split by.
+#: Words of a window (depth of a reported node), and of the prefix that suffixes are split by.
 DEPTH, PREFIX = 13, 5
+#: Windows of a group whose tree is built in memory, and windows (of whole groups) handled at once.
+GROUP, CHUNK = 1 << 14, 1 << 16
+#: Bytes of words in an Arrow batch of segments.
+SEGMENT_BYTES = 1 << 24
 _OTHER_SEED = 0x8CB92BA72F3D8DD7
 
 
@@ -55,8 +62,8 @@ def sampled(h: np.ndarray, left: np.ndarray, depth: int, prefix: int) -> tuple[n
     return at, low[at]
 
 
-def prefix_nodes(docs: DataFrame, origin, depth: int, prefix: int) -> DataFrame:
-    """Level one: (prefix) that stand in two documents or more of those that `origin` passes."""
+def prefix_counts(docs: DataFrame, origin, depth: int, prefix: int) -> DataFrame:
+    """(prefix, windows) of the prefixes in two documents or more of those that `origin` passes."""
 
     def scan(batches):
         for b in batches:
@@ -70,69 +77,185 @@ def prefix_nodes(docs: DataFrame, origin, depth: int, prefix: int) -> DataFrame:
                 low, doc = low[order], doc[order]
                 new = np.ones(len(low), bool)
                 new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.record_batch({"prefix": signed(low[new])})
+                first = np.flatnonzero(new)
+                yield pa.record_batch({"prefix": signed(low[first]), "windows": np.diff(np.r_[first, len(low)])})
 
-    return docs.where("doc is not null").mapInArrow(scan, "prefix long").groupBy("prefix").count().where("count > 1").select("prefix")
+    rows = docs.where("doc is not null").mapInArrow(scan, "prefix long, windows long")
+    return rows.groupBy("prefix").agg(F.count("*").alias("docs"), F.sum("windows").alias("windows")).where("docs > 1").select("prefix", "windows")
 
 
-def suffixes(docs: DataFrame, origin, nodes, depth: int, prefix: int) -> DataFrame:
-    """Level two: (w1, w2, doc, at) of every window under a prefix of `nodes`; at holds th and the window's first word."""
+def gathered(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pieces of buffer one after another."""
+    first = np.r_[0, np.cumsum(lengths)[:-1]]
+    return buffer[np.repeat(starts - first, lengths) + np.arange(int(lengths.sum()))]
+
+
+def segments(docs: DataFrame, origin, shared, hot, depth: int, prefix: int) -> DataFrame:
+    """(prefix, doc, at, words) of every run of windows under one prefix that is `shared` and not `hot`; at holds th and the first word's place."""
+
+    def scan(batches):
+        for b in batches:
+            ids, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for w in scan_words(b.column(2), lower=False):
+                h = w.hashes()
+                at, low = sampled(h, w.left(), depth, prefix)
+                doc = w.doc[at]
+                keep = origin.value.has(ids[w.lo : w.hi])[doc]
+                at, low, doc = at[keep], low[keep], doc[keep]
+                keep = shared.value.has(signed(low)) & ~hot.value.has(signed(low))
+                at, low, doc = at[keep], low[keep], doc[keep]
+                new = np.ones(len(at), bool)
+                new[1:] = (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(new)
+                if not len(first):
+                    continue
+                length = np.diff(np.r_[first, len(at)]) + depth - 1
+                begin, doc, low = at[first], doc[first], low[first]
+                place = (th[w.lo + doc] << 32) | (begin - w.first[doc])
+                cuts = np.searchsorted(np.cumsum(length), np.arange(0, int(length.sum()), SEGMENT_BYTES // 8))
+                for x, y in zip(cuts, np.r_[cuts[1:], len(first)], strict=True):
+                    if x < y:
+                        words = gathered(h, begin[x:y], length[x:y])
+                        ends = np.r_[0, np.cumsum(length[x:y] * 8)].astype(np.int32)
+                        words = pa.Array.from_buffers(pa.binary(), int(y - x), [None, pa.py_buffer(ends), pa.py_buffer(words)])
+                        yield pa.record_batch([pa.array(signed(low[x:y])), pa.array(ids[w.lo + doc[x:y]]), pa.array(place[x:y]), words], names=["prefix", "doc", "at", "words"])
+
+    return docs.where("doc is not null").mapInArrow(scan, "prefix long, doc long, at long, words binary")
+
+
+def subtree(prefix: np.ndarray, doc: np.ndarray, words: np.ndarray, starts: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
+    """For each window of each segment, whether its node of depth `depth` has a smaller document.
+
+    Suffixes are sorted by prefix and words; the words that neighbours have in common bound the tree's internal nodes.
+    """
+    of = np.repeat(np.arange(len(counts)), counts)
+    first = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(len(of))
+    rows = words[first[:, None] + np.arange(depth)]
+    order = np.lexsort([*(rows[:, j] for j in range(depth - 1, -1, -1)), prefix[of]])
+    rows, group, owner = rows[order], prefix[of][order], doc[of][order]
+    common = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(1) * (group[1:] == group[:-1])
+    node = np.flatnonzero(np.r_[True, common < depth])
+    low = np.repeat(np.minimum.reduceat(owner, node), np.diff(np.r_[node, len(owner)]))
+    out = np.empty(len(of), bool)
+    out[order] = owner > low
+    return out
+
+
+def tree_runs(rows: DataFrame, depth: int) -> DataFrame:
+    """(doc, th, start, windows): runs of windows with a smaller document in their node, from the segments of each group."""
+
+    def handle(t: pa.Table):
+        words = t["words"].chunk(0) if t["words"].num_chunks else pa.array([], pa.binary())
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint64, count=int(ends[-1]) // 8)
+        counts = np.diff(ends) // 8 - (depth - 1)
+        prefix, doc, at = t["prefix"].to_numpy(), t["doc"].to_numpy(), t["at"].to_numpy()
+        hit = subtree(prefix, doc, data, ends[:-1] // 8, counts, depth)
+        of = np.repeat(np.arange(len(counts)), counts)
+        first = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | (of[1:] != of[:-1])])
+        last = np.flatnonzero(hit & np.r_[~hit[1:] | (of[1:] != of[:-1]), True])
+        seg = of[first]
+        start = (at[seg] & 0xFFFFFFFF) + first - (np.cumsum(counts) - counts)[seg]
+        return pa.record_batch({"doc": doc[seg], "th": at[seg] >> 32, "start": start.astype(np.int32), "windows": (last - first + 1).astype(np.int32)})
+
+    def build(batches):
+        held: list = []
+        size = 0
+        for b in slices(batches, 4096):
+            held.append(b)
+            size += b.num_rows * 4
+            if size >= CHUNK:
+                t = pa.Table.from_batches(held).combine_chunks()
+                prefix = t["prefix"].to_numpy()
+                cut = int(np.searchsorted(prefix, prefix[-1]))  # the last group may go on
+                if cut:
+                    yield handle(t.slice(0, cut).combine_chunks())
+                    held, size = t.slice(cut).to_batches(), (t.num_rows - cut) * 4
+        if held:
+            yield handle(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(build, "doc long, th long, start int, windows int")
+
+
+def hot_windows(docs: DataFrame, origin, hot, depth: int, prefix: int) -> DataFrame:
+    """(w1, w2, doc, at) of every window under a hot prefix, which is lengthened to the window itself."""
 
     def scan(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            th = b.column(1).to_numpy(zero_copy_only=False)
+            ids, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for w in scan_words(b.column(2), lower=False):
                 h = w.hashes()
                 at, low = sampled(h, w.left(), depth, prefix)
-                keep = origin.value.has(ids[w.lo : w.hi])[w.doc[at]]
-                at, low = at[keep], low[keep]
-                at = at[nodes.value.has(signed(low))]
+                at = at[origin.value.has(ids[w.lo : w.hi])[w.doc[at]] & hot.value.has(signed(low))]
                 doc = w.doc[at]
-                place = at - w.first[doc]
-                yield pa.record_batch({"w1": signed(grams(h, depth)[at]), "w2": signed(grams(h, depth, _OTHER_SEED)[at]), "doc": ids[w.lo + doc], "at": (th[w.lo + doc] << 32) | place})
+                yield pa.record_batch({"w1": signed(grams(h, depth)[at]), "w2": signed(grams(h, depth, _OTHER_SEED)[at]), "doc": ids[w.lo + doc], "at": (th[w.lo + doc] << 32) | (at - w.first[doc])})
 
     return docs.where("doc is not null").mapInArrow(scan, "w1 long, w2 long, doc long, at long")
 
 
-def repeats(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX) -> DataFrame:
-    """(doc, th, starts, whole): windows of a row that also start in a document with a smaller id; whole if its whole text does.
+def repeats(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
+    """(doc, th, runs, whole), written: runs (start, windows) of a row's windows that also start in a document with a smaller id; whole if its whole text does.
 
     docs as keyed() makes them.  Texts with equal word sequences are found first; only the first of each enters the trees.
     """
     texts = written(whole_texts(docs), "texts")
     first = texts.where(F.col("n") >= depth).groupBy("c1", "c2").agg(F.min("doc").alias("low"), F.count("*").alias("rows"))
-    again = texts.join(first.where("rows > 1"), ["c1", "c2"]).where("doc > low").select("doc", "th").distinct()
-    again = written(again, "again")
-    origin = Filter.over(first.select("low"), "low")  # a false hit lets a copy in, which changes nothing
-    nodes = Filter.over(prefix_nodes(docs, origin, depth, prefix), "prefix")
-    rows = suffixes(docs, origin, nodes, depth, prefix)
-    inner = rows.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    later = rows.join(inner.drop("high"), ["w1", "w2"]).where("doc > low")
-    starts = later.groupBy("doc", F.shiftright("at", 32).alias("th")).agg(F.sort_array(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("starts"))
-    starts = starts.join(again, ["doc", "th"], "left_anti").withColumn("whole", F.lit(False))
-    return starts.unionByName(again.select("doc", "th", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
-
-
-def kept_words(words: list[bytes], starts: np.ndarray, whole: bool, depth: int) -> list[bytes]:
+    first = written(first, "first")
+    again = spread_join(texts.where(F.col("n") >= depth), first.where("rows > 1").select("c1", "c2", "low"), ["c1", "c2"], hot_keys(texts, ["c1", "c2"])).where("doc > low")
+    again = written(again.select("doc", "th").distinct(), "again")
+    origin = Filter.over(first.where("low is not null").select("low"), "low")  # a false hit lets a copy in, which changes nothing
+    counts = written(prefix_counts(docs, origin, depth, prefix), "prefixes")
+    large = counts.where(F.col("windows") > group)
+    shared, hot = Filter.over(counts, "prefix"), Filter.over(large, "prefix")
+    later = tree_runs(segments(docs, origin, shared, hot, depth, prefix), depth)
+    rows = None
+    if large.take(1):
+        rows = written(hot_windows(docs, origin, hot, depth, prefix), "windows")
+        nodes = written(rows.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"), "nodes")
+        under = spread_join(rows, nodes, ["w1", "w2"], hot_keys(rows, ["w1", "w2"])).where("doc > low")
+        later = later.unionByName(under.select("doc", F.shiftright("at", 32).alias("th"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), F.lit(1).alias("windows")))
+    runs = later.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "windows"))).alias("runs"))
+    runs = runs.join(again, ["doc", "th"], "left_anti").withColumn("whole", F.lit(False))
+    none = F.array().cast("array<struct<start:int,windows:int>>")
+    out = written(runs.unionByName(again.select("doc", "th", none.alias("runs"), F.lit(True).alias("whole"))), "repeats")
+    dropped(texts, first, again, counts, *([rows, nodes] if rows is not None else []))
+    for f in (origin, shared, hot):
+        f.destroy()
+    return out
+
+
+def maximal_repeats(documents: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, th, start, words): every maximal run of words covered by windows that also start in a document with a smaller id; texts that are whole copies of an earlier one have start 0 and null words."""
+    rows = repeats(keyed(documents, id_col, text_col), depth)
+    step = lambda a, x: F.when(
+        (F.size(a) > 0) & (F.element_at(a, -1).upto >= x.start),
+        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1).start.alias("start"), F.greatest(F.element_at(a, -1).upto, x.start + x.windows + depth - 1).alias("upto")))),
+    ).otherwise(F.concat(a, F.array(F.struct(x.start.alias("start"), (x.start + x.windows + depth - 1).alias("upto")))))
+    merged = F.aggregate("runs", F.array().cast("array<struct<start:int,upto:int>>"), step)
+    spans = rows.where("not whole").select("doc", "th", F.explode(merged).alias("s")).select("doc", "th", "s.start", (F.col("s.upto") - F.col("s.start")).alias("words"))
+    return spans.unionByName(rows.where("whole").select("doc", "th", F.lit(0).alias("start"), F.lit(None).cast("int").alias("words")))
+
+
+def kept_words(words: list[bytes], runs: list[dict], whole: bool, depth: int) -> list[bytes]:
     """The words outside all windows."""
     if whole:
         return []
     steps = np.zeros(len(words) + 1, int)
-    steps[starts] += 1
-    np.subtract.at(steps, np.minimum(starts + depth, len(words)), 1)
+    for r in runs:
+        steps[r["start"]] += 1
+        steps[r["start"] + r["windows"] + depth - 1] -= 1
     return [w for w, c in zip(words, np.cumsum(steps[:-1]), strict=True) if not c]
 
 
-def without_repeats(documents: DataFrame, digest: bool = False, depth: int = DEPTH, prefix: int = PREFIX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(documents: DataFrame, digest: bool = False, depth: int = DEPTH, prefix: int = PREFIX, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents' rows (doc, th, n_words, n_removed, kept, changed): kept are the words left, joined by one space, or their SHA-256 if digest.
 
-    kept is null for an unchanged row unless digest.  A window's repeat within one document, or in rows with the same
-    id, isn't removed; null texts have no words; rows with a null id keep all words and give none.  Only texts of rows
-    with a removal (and a few false hits) are shuffled.
+    Ids must be integers.  kept is null for an unchanged row unless digest.  A window's repeat within one document, or in
+    rows with the same id, isn't removed; null texts have no words; rows with a null id keep all words and give none.
+    Only texts of rows with a removal (and a few false hits) are shuffled.
     """
     docs = keyed(documents, id_col, text_col)
-    marks = written(repeats(docs, depth, prefix), "repeats")
+    marks = repeats(docs, depth, prefix, group)
     marked = Filter.over(marks.select(F.col("doc").bitwiseXOR(F.shiftleft("th", 32)).alias("k")), "k")
     sha = lambda words: hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -151,16 +274,16 @@ def without_repeats(documents: DataFrame, digest: bool = False, depth: int = DEP
     def remove(batches):
         for b in slices(batches):
             removed, kept, changed = [], [], []
-            for n, done, t, starts, whole in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
+            for n, done, t, runs, whole in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
                 if t is None:
                     removed.append(0), kept.append(done), changed.append(False)
                     continue
                 words = t.encode().split()
-                left = kept_words(words, np.array(starts or [], int), bool(whole), depth)
+                left = kept_words(words, runs or [], bool(whole), depth)
                 removed.append(n - len(left)), changed.append(len(left) < n)
                 kept.append(sha(left) if digest else b" ".join(left).decode() if changed[-1] else None)
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(changed, pa.bool_())], names=["doc", "th", "n_words", "n_removed", "kept", "changed"])
 
     rows = docs.mapInArrow(scan, "doc long, th long, n_words long, kept string, text string").join(marks, ["doc", "th"], "left")
-    return rows.select("doc", "th", "n_words", "kept", "text", "starts", "whole").mapInArrow(remove, "doc long, th long, n_words long, n_removed long, kept string, changed boolean")
+    return rows.select("doc", "th", "n_words", "kept", "text", "runs", "whole").mapInArrow(remove, "doc long, th long, n_words long, n_removed long, kept string, changed boolean")
 

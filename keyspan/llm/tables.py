@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import uuid
 
@@ -15,14 +17,18 @@ from .textscan import mix64
 
 #: A side of a join is broadcast only if a count shows at most so many (narrow) rows.
 BROADCAST_ROWS = 100_000
+#: A key with more than this share of a table is hot: fewer keys than that can be.
+HOT = 10_000
 #: Bits of a membership filter for each key, and of all at most: 16 MB, whatever the input's size.
 KEY_BITS, FILTER_BITS = 64, 1 << 27
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a session of one machine gets one of our own where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = f"/tmp/keyspan-shared-{spark.sparkContext.applicationId}"
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = f"file://{local}"
@@ -35,21 +41,84 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once all that reads them is written itself."""
+    for t in tables:
+        remove_shared(t.sparkSession, t.shared_path)
+
+
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Removes a folder below the shared one by Spark's own file systems."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files and broadcasts of what is done with: it learns of them by a garbage collection, which else it asks for twice an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """Each name with underscores put after it until no column of `taken` has it, in whatever case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def rows_of(df: DataFrame) -> int:
+    """Number of rows; of a written table it is counted once."""
+    if not hasattr(df, "shared_rows"):
+        df.shared_rows = df.count()
+    return df.shared_rows
 
 
 def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most `limit` rows, else as it is."""
+    """df with a broadcast hint if it is counted to have at most `limit` rows, else as it is.  For rows of numbers and short names."""
     return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit else df
 
 
+def hot_keys(many: DataFrame, keys: list[str], least: int = 128) -> DataFrame | None:
+    """(keys, spread_parts) of the keys with more than a HOT-th of all rows of a written table, and more than `least`: fewer than HOT rows."""
+    most = max(least, rows_of(many) // HOT)
+    counts = many.groupBy(*keys).count().where(F.col("count") > most)
+    hot = written(counts.select(*keys, F.ceil(F.col("count") / most).cast("int").alias("spread_parts")), "hot")
+    return F.broadcast(hot) if rows_of(hot) else None
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """many joined with one (a row a key): rows of a hot key get a number below its parts, and its row of `one` is repeated for each."""
+    if hot is None:
+        return many.join(one, keys, how)
+    parts = F.coalesce("spread_parts", F.lit(1))
+    part = F.pmod(F.xxhash64(*[c for c in many.columns if c not in keys]), parts).cast("int")
+    left = many.join(hot, keys, "left").withColumn("spread_part", part).drop("spread_parts")
+    right = one.join(hot, keys, "left").withColumn("spread_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("spread_parts")
+    return left.join(right, [*keys, "spread_part"], how).drop("spread_part")
+
+
 def hash_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
-    """All rows of df, or about nine tenths of `most` chosen by a hash of columns: bounded whatever the number of tasks, and the same in every run."""
-    total = df.count()
+    """The distinct rows of df, or about nine tenths of `most` chosen by a hash of columns: the same in every run.
+
+    As no row stands twice, their number is binomial: `most` is some twenty spreads away at the sizes used, and a hot row counts once.
+    """
+    rows = written(df.distinct(), "sample")
+    total = rows_of(rows)
     if total <= most:
-        return df
+        return rows
     limit = int(0.9 * most / total * (1 << 62))
-    return df.where(F.shiftrightunsigned(F.xxhash64(*columns), 2) < F.lit(limit).cast("long"))
+    return rows.where(F.shiftrightunsigned(F.xxhash64(*columns), 2) < F.lit(limit).cast("long"))
 
 
 class Filter:
@@ -77,7 +146,7 @@ class Filter:
         The keys are written out first, so that they are made once and their number sets the size.
         """
         keys_only = written(df.select(F.col(column).alias("k")), "keys")
-        bits = min(FILTER_BITS, 1 << max(12, (KEY_BITS * keys_only.count()).bit_length()))
+        bits = min(FILTER_BITS, 1 << max(12, (KEY_BITS * rows_of(keys_only)).bit_length()))
 
         def marks(batches):
             for b in batches:
@@ -93,6 +162,7 @@ class Filter:
         rows = keys_only.mapInArrow(marks, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
         words = np.zeros(bits // 64, np.uint64)
         words[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+        dropped(keys_only)
         return df.sparkSession.sparkContext.broadcast(cls(words))
 
 

@@ -57,6 +57,35 @@ def test_joins_and_repeats(name, request):
     assert got == brute.without_repeats(rows)
 
 
+def test_hot_prefixes_and_maximal_repeats(spark, awkward):
+    """Prefixes over the group size are lengthened to whole windows: the same result."""
+    rows = pairs(awkward)
+    got = {r.doc: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.without_repeats(awkward, digest=True, group=1).collect()}
+    assert got == brute.without_repeats(rows)
+    texts = [" ".join(f"{a}{i}" for i in range(60)) for a in "pqr"]
+    x, y, z = (t.split() for t in texts)
+    many = [(i, " ".join([f"s{i}", *x[5:45], f"t{i}", *(y[10:40] if i % 2 else z[:12])])) for i in range(40)]
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    want = brute.without_repeats(many)
+    for group in (4, 1 << 14):
+        assert {r.doc: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.without_repeats(df, digest=True, group=group).collect()} == want
+    spans = sorted((r.doc, r.start, r.words) for r in substring_dedup.maximal_repeats(df).collect())
+    assert spans == sorted([(i, 1, 40) for i in range(1, 40)] + [(i, 42, 30) for i in range(3, 40, 2)])
+
+
+def test_unequal_sets_with_one_id(spark, awkward, monkeypatch):
+    """Sets that meet in the first id are told apart by the second."""
+    short = lambda d, v, n, f=shingle_join.set_ids: (lambda size, a, b: (size, a % np.uint64(3), b))(*f(d, v, n))
+    rows = [(i, t) for i, t in pairs(awkward) if i % 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(shingle_join, "set_ids", short)
+    docs = df.select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("th"))
+    table, nodes, renamed = shingle_join.nodes_of(shingle_join.written(spark.createDataFrame(
+        [(i, 0, n, s1, s2, b"", b"") for i, (n, s1, s2) in enumerate([(5, 1, 10), (5, 1, 11), (5, 1, 11), (6, 2, 3), (0, 1, 1), (7, 1, 12)])], docs.selectExpr("doc", "th", "doc as n", "doc as s1", "doc as s2", "cast('' as binary) as bits", "cast('' as binary) as small").schema), "sets"))
+    ids = {r.doc: r.s1 for r in table.collect()}
+    assert ids[0] == 1 and ids[1] == ids[2] not in (1, 2) and ids[5] not in (1, 2, ids[1]) and len(renamed) == 2 and nodes.count() == 4
+
+
 def test_license_texts_keep_apart(spark):
     cc = "This work is licensed under a Creative Commons Attribution{} International License."
     cases = [(t, label) for label, t in license_scan.TEMPLATES] + [
@@ -207,6 +236,9 @@ def test_empty_tables(spark, documents):
     assert quality_model.score_quality(none, labels).count() == 0
     assert {r.score for r in quality_model.score_quality(documents, labels.limit(0)).collect()} == {0.5}
     pages = spark.createDataFrame([], "page_id long, url string, html string")
+    import public_tokenizers
+
+    assert token_counts.count_tokens(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert url_filter.filter_urls(pages).count() == 0 and warc.archive_pages(pages).count() == 0
 
 
@@ -220,6 +252,14 @@ def test_repeated_rows(spark, awkward):
     assert source_mix.mix(twice).count() == n
     bench = spark.createDataFrame([(1, " ".join(WORDS[5:25]))], "item_id long, text string")
     assert decontaminate.contamination(twice, bench).count() == n
+    import public_tokenizers
+
+    assert token_counts.count_tokens(twice, public_tokenizers.path("byte_bpe_50k.json")).count() == n
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(2, 1)], "doc_id long, quality int")
+    scored = quality_model.score_quality(twice, labels)
+    assert scored.count() == n and scored.distinct().count() == awkward.count()
+    pages = twice.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.example.com/"), "doc_id").alias("url"), F.col("text").alias("html"), "count", "key")
+    assert url_filter.filter_urls(pages).count() == n and warc.archive_pages(pages).count() == n
 
 
 def test_tree_finds_all_pairs():

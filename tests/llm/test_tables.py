@@ -25,6 +25,28 @@ def test_samples_are_bounded_and_repeat(spark):
     assert tables.hash_sample(df, 40_000, "id").count() == 30_000
 
 
+def test_samples_count_a_hot_row_once(spark):
+    df = spark.range(30_000).selectExpr("'same' as url").unionByName(spark.range(5_000).selectExpr("cast(id as string) as url"))
+    assert tables.hash_sample(df, 1_000, "url").count() <= 1_000
+    assert tables.hash_sample(df, 6_000, "url").count() == 5_001
+
+
+def test_spread_join(spark):
+    many = tables.written(spark.range(3_000).selectExpr("if(id % 3 = 0, 1, id) as k", "id as v"), "many")
+    one = spark.range(0, 3_000, 2).selectExpr("id as k", "id * 10 as x").unionByName(spark.createDataFrame([(1, -1)], "k long, x long"))
+    hot = tables.hot_keys(many, ["k"], least=100)
+    assert [(r.k, r.spread_parts) for r in hot.collect()] == [(1, 11)]  # 1,000 multiples of 3, and 1 itself
+    for how in ("inner", "left"):
+        a = tables.spread_join(many, one, ["k"], hot, how)
+        b = many.join(one, ["k"], how)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    tables.dropped(many)
+
+
+def test_names_that_are_free():
+    assert tables.fresh(["rid", "RTH", "rth_"], "rid", "rth", "x", "x") == ["rid_", "rth__", "x", "x_"]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 200)]
