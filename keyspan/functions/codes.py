@@ -15,25 +15,49 @@ PROSIGNS = {"<AR>": ".-.-", "<SK>": "...-.", "<KN>": "-.--."}
 CODE_OF = LETTERS | DIGITS | PUNCTUATION | PROSIGNS
 SYMBOL_OF = {code: symbol for symbol, code in CODE_OF.items()}
 
-# Tokens that speak for readable traffic.
+#: Tokens that speak for readable traffic: procedure, what stations tell each other, and the plainest words of talk.
 PLAUSIBLE = tuple(
-    "CQ DE UR RST BTU FB OK QSL QTH QRZ QSO AGN NAME RIG ANT WX HW BK PSE TNX TU THE AND FOR YOU THAT WITH HAVE THIS WAS BUT NOT ARE "
-    "FROM ALL ABOUT BEEN WILL WHAT WHEN YOUR JUST LIKE KNOW GOOD WELL MUCH SOME THERE WOULD COULD SHOULD BEFORE AFTER OTHER".split()
+    # calling and handing over
+    "CQ DE TEST QRZ PSE CALL OVER "
+    # reports and equipment
+    "RST UR SIG ANT RIG PWR WATTS DIPOLE VERT YAGI "
+    # courtesies
+    "TNX TU HPE GD GM GE DR FB GL CUAGN "
+    # the station and its place
+    "NAME OP QTH NR WX TEMP RAIN SUNNY "
+    # operating signals in use on the bands
+    "QSO QSL QRM QSB QRP "
+    # talk
+    "THE AND IS HERE MY IN WITH FOR FROM TO ON AT IT HAVE GOOD VERY WORKING TODAY YEARS STATION".split()
 )
 
 
-def code_map(mapping: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+def index_of(text: Column, low: int) -> Column:
+    """Place of a text's first character in a table that begins with character `low`."""
+    return F.ascii(text) - F.lit(low)
 
 
 def encode_symbol(symbol) -> Column:
-    """Code of a symbol; null for symbols without one."""
-    return F.try_element_at(code_map(CODE_OF), F.col(symbol) if isinstance(symbol, str) else symbol)
+    """Code of a symbol; null for symbols without one.  Single characters are looked up by their number."""
+    c = F.col(symbol) if isinstance(symbol, str) else symbol
+    low, high = ord(" "), ord("Z")
+    codes = F.array(*[F.lit(CODE_OF.get(chr(i))) for i in range(low, high + 1)])
+    out = F.when((F.length(c) == 1) & F.ascii(c).between(low, high), F.get(codes, index_of(c, low)))
+    for sign in (s for s in CODE_OF if len(s) > 1 or not low <= ord(s) <= high):
+        out = out.when(c == sign, CODE_OF[sign])
+    return out
 
 
 def decode_symbol(code) -> Column:
-    """Symbol of a code, `?` for any other string: only exact codes are looked up."""
-    return F.coalesce(F.try_element_at(code_map(SYMBOL_OF), F.col(code) if isinstance(code, str) else code), F.lit("?"))
+    """Symbol of a code, `?` for any other string: only exact codes are looked up, by their marks read as binary digits after a 1."""
+    c = F.col(code) if isinstance(code, str) else code
+    number = lambda marks: int("1" + marks.replace(".", "0").replace("-", "1"), 2)
+    symbols = [None] * (1 << (max(map(len, SYMBOL_OF)) + 1))
+    for marks, symbol in SYMBOL_OF.items():
+        symbols[number(marks)] = symbol
+    most = max(map(len, SYMBOL_OF))
+    place = F.conv(F.concat(F.lit("1"), F.translate(c, ".-", "01")), 2, 10).cast("int")
+    return F.coalesce(F.when(c.rlike(f"^[.-]{{1,{most}}}$"), F.get(F.array(*[F.lit(x) for x in symbols]), place)), F.lit("?"))
 
 
 def keyable(text) -> Column:

@@ -375,7 +375,9 @@ def plausibility(text: str) -> float:
     mono = dominant(text)
     words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.upper()).split() if len(w) >= 2]
     base = 0.2 if mono > 0.5 else 0.35 if mono > 0.42 else 0.7 if mono > 0.35 else 1.0
-    return float(min(max(base * (1 + 0.025 * min(len(words), 6)) * (1 + 0.02 * min(sum(w in PLAUSIBLE for w in words), 5)), 0.15), 1.25))
+    wordy = sum(w.isalpha() and len(w) <= 12 for w in words)
+    raised = 1 + 0.025 * min(wordy, 6) if wordy >= 3 and 2 * wordy >= len(words) else 1.0
+    return float(min(max(base * raised * (1 + 0.02 * min(sum(w in PLAUSIBLE for w in words), 5)), 0.15), 1.25))
 
 
 def decode_score(text: str, duty: float, marks: np.ndarray, dit: float, dah: float) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import decode_symbol, encode_symbol, keyable
+from ..functions.columns import let
 
 DIT_UNITS = {"dot": 1, "dash": 3, "in_char": 1, "char_gap": 3, "word_gap": 7}
 
@@ -24,12 +25,15 @@ def decode_codes(codes: Column) -> Column:
 
 
 def characters(df: DataFrame, rec: str, text: str) -> DataFrame:
-    """(rec, pos, word_end, text_end, code) of each keyable character but spaces; pos from 1 counts spaces as well."""
-    t = df.select(F.col(rec).alias("rec"), keyable(F.col(text)).alias("t"))
-    pos = F.posexplode(F.filter(F.split("t", ""), lambda c: c != "")).alias("p", "ch")
-    rows = t.where("t <> ''").select("rec", "t", pos)
-    nxt = F.expr("substring(t, p + 2, 1)")
-    return rows.where("ch <> ' '").select("rec", (F.col("p") + 1).alias("pos"), (nxt == " ").alias("word_end"), (nxt == "").alias("text_end"), encode_symbol("ch").alias("code"))
+    """(rec, pos, word_end, text_end, code) of each keyable character but spaces; pos from 1 counts spaces as well.
+
+    Each character takes the next one with it while both stand in the row's array, so no row carries the text.
+    """
+    signs = F.filter(F.split(keyable(F.col(text)), ""), lambda c: c != "")
+    pairs = let(signs, lambda a: F.transform(a, lambda c, i: F.struct(c.alias("ch"), F.get(a, i + 1).alias("nxt"))))
+    rows = df.select(F.col(rec).alias("rec"), F.posexplode(pairs).alias("p", "x")).where("x.ch <> ' '")
+    end = F.col("x.nxt").isNull()
+    return rows.select("rec", (F.col("p") + 1).alias("pos"), F.coalesce(F.col("x.nxt") == " ", F.lit(False)).alias("word_end"), end.alias("text_end"), encode_symbol(F.col("x.ch")).alias("code"))
 
 
 def keying(df: DataFrame, rec: str, text: str, wpm: float = 20.0, jitter: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import PLAUSIBLE
+from ..functions.columns import let
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -18,10 +19,7 @@ def letters(text: Column) -> Column:
 
 def dominant_letter(text: Column) -> Column:
     """Share of the commonest letter; 0 for less than 8 letters."""
-    from ..functions.columns import let
-
-    alphabet = F.array(*[F.lit(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
-    top = lambda t: F.array_max(F.transform(alphabet, lambda c: F.length(t) - F.length(F.replace(t, c, F.lit("")))))
+    top = lambda t: F.greatest(*[F.length(t) - F.length(F.translate(t, c, "")) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
     return let(letters(text), lambda t: F.when(F.length(t) >= 8, top(t) / F.length(t)).otherwise(0.0))
 
 
@@ -31,14 +29,17 @@ def tokens(text: Column) -> Column:
 
 
 def plausibility(text: Column) -> Column:
-    """Likeness to traffic, .15 to 1.25: low for runs of one letter, raised by words and known tokens; .2 for nothing."""
-    from ..functions.columns import let
-
+    """Likeness to traffic, .15 to 1.25: low for runs of one letter, raised by known tokens, and by words of 2 to 12 letters
+    if there are three and they make up half of the tokens; .2 for nothing."""
     mono = dominant_letter(text)
     base = F.when(mono > 0.50, 0.20).when(mono > 0.42, 0.35).when(mono > 0.35, 0.70).otherwise(1.0)
-    known = F.array(*[F.lit(w) for w in PLAUSIBLE])
-    words = lambda w: (1 + 0.025 * F.least(F.size(w), F.lit(6))) * (1 + 0.02 * F.least(F.size(F.filter(w, lambda x: F.array_contains(known, x))), F.lit(5)))
-    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, 0.2).otherwise(clamp(base * let(tokens(text), words), 0.15, 1.25))
+
+    def raised(found):
+        wordy, n = F.size(F.filter(found, lambda x: x.rlike("^[A-Z]{2,12}$"))), F.size(found)
+        known = F.size(F.filter(found, lambda x: x.isin(*PLAUSIBLE)))
+        return F.when((wordy >= 3) & (2 * wordy >= n), 1 + 0.025 * F.least(wordy, F.lit(6))).otherwise(1.0) * (1 + 0.02 * F.least(known, F.lit(5)))
+
+    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, 0.2).otherwise(clamp(base * let(tokens(text), raised), 0.15, 1.25))
 
 
 def contest_like(text: Column) -> Column:
@@ -50,7 +51,6 @@ def contest_like(text: Column) -> Column:
 
 def contest_quality(text: Column) -> Column:
     """0 to 1 for an exchange whose run-ons are split: spacing, then capped counts of reports, TU, serials and calls, lowered for one letter."""
-    from ..functions.columns import let
 
     def rate(t):
         spacing = (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))) / F.greatest(F.length(t), F.lit(1))
@@ -131,8 +131,16 @@ def speed_consensus(hyps: DataFrame, key: str) -> DataFrame:
     return hyps.join(mid, key, "left").withColumn("adjusted", F.col("score") * factor)
 
 
-def missing_serials(seen: DataFrame, key: str, serial: str) -> DataFrame:
-    """(key, serial) between a key's smallest and largest serial that aren't seen."""
-    span = seen.groupBy(key).agg(F.min(serial).alias("lo"), F.max(serial).alias("hi"))
-    want = span.select(key, F.explode(F.sequence("lo", "hi")).alias(serial))
-    return want.join(seen.select(key, serial).distinct(), [key, serial], "left_anti")
+def missing_serials(seen: DataFrame, key: str, serial: str, block: int = 1 << 16) -> DataFrame:
+    """(key, serial) between a key's smallest and largest serial that aren't seen.
+
+    Serials are ordered within blocks of a key, so a key with most rows isn't one task; holes between blocks come from their
+    ends, a row a block.  A hole is listed in parts, so no array grows with it.
+    """
+    k, s = F.col(key).alias("k"), F.col(serial).alias("s")
+    rows = seen.select(k, s).where("s is not null").distinct().withColumn("b", F.floor(F.col("s") / block))
+    inner = rows.withColumn("nxt", F.lead("s").over(Window.partitionBy("k", "b").orderBy("s"))).select("k", "s", "nxt")
+    ends = rows.groupBy("k", "b").agg(F.min("s").alias("low"), F.max("s").alias("s"))
+    outer = ends.withColumn("nxt", F.lead("low").over(Window.partitionBy("k").orderBy("b"))).select("k", "s", "nxt")
+    holes = inner.unionByName(outer).where("nxt > s + 1").withColumn("part", F.explode(F.expr(f"sequence(s + 1, nxt - 1, {block})")))
+    return holes.select(F.col("k").alias(key), F.explode(F.sequence("part", F.least(F.col("part") + (block - 1), F.col("nxt") - 1))).alias(serial))

@@ -463,9 +463,9 @@ WORDS = "list_filter(string_split(upper(regexp_replace(coalesce(text, ''), '[^A-
 MONO = f"""l AS (SELECT doc_id, text, {LETTERS} AS t FROM documents),
 mono AS (SELECT doc_id, text, CASE WHEN length(t) >= 8 THEN list_max(list_transform(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''), lambda c: length(t) - length(replace(t, c, '')))) / length(t) ELSE 0 END AS mono FROM l)"""
 KNOWN = ", ".join(f"'{w}'" for w in PLAUSIBLE)
-PLAUS = f"""{MONO}, w AS (SELECT *, {WORDS} AS w FROM mono),
+PLAUS = f"""{MONO}, v AS (SELECT *, {WORDS} AS w FROM mono), w AS (SELECT *, len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]{{2,12}}$'))) AS wordy FROM v),
 pl AS (SELECT doc_id, text, mono, CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 0.2 ELSE least(greatest(CASE WHEN mono > 0.5 THEN 0.2 WHEN mono > 0.42 THEN 0.35 WHEN mono > 0.35 THEN 0.7 ELSE 1.0 END::DOUBLE
-  * (1 + 0.025::DOUBLE * least(len(w), 6)) * (1 + 0.02::DOUBLE * least(len(list_filter(w, lambda x: x IN ({KNOWN}))), 5)), 0.15), 1.25) END AS plausibility FROM w)"""
+  * CASE WHEN wordy >= 3 AND 2 * wordy >= len(w) THEN 1 + 0.025::DOUBLE * least(wordy, 6) ELSE 1 END * (1 + 0.02::DOUBLE * least(len(list_filter(w, lambda x: x IN ({KNOWN}))), 5)), 0.15), 1.25) END AS plausibility FROM w)"""
 
 
 @query(f"WITH {MONO} SELECT doc_id, round(mono, 6) AS mono FROM mono")
