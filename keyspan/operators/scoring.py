@@ -31,13 +31,13 @@ def tokens(text: Column) -> Column:
 def plausibility(text: Column) -> Column:
     """Likeness to traffic, .15 to 1.25: low for runs of one letter, raised by known tokens, and by words of 2 to 12 letters
     if there are three and they make up half of the tokens; .2 for nothing."""
-    mono = dominant_letter(text)
-    base = F.when(mono > 0.50, 0.20).when(mono > 0.42, 0.35).when(mono > 0.35, 0.70).otherwise(1.0)
+    base = let(dominant_letter(text), lambda mono: F.when(mono > 0.50, 0.20).when(mono > 0.42, 0.35).when(mono > 0.35, 0.70).otherwise(1.0))
 
     def raised(found):
-        wordy, n = F.size(F.filter(found, lambda x: x.rlike("^[A-Z]{2,12}$"))), F.size(found)
+        raise_by = lambda wordy, n: F.when((wordy >= 3) & (2 * wordy >= n), 1 + 0.025 * F.least(wordy, F.lit(6))).otherwise(1.0)
+        wordy = F.size(F.filter(found, lambda x: (F.length(x) <= 12) & (F.translate(x, "0123456789", "") == x)))
         known = F.size(F.filter(found, lambda x: x.isin(*PLAUSIBLE)))
-        return F.when((wordy >= 3) & (2 * wordy >= n), 1 + 0.025 * F.least(wordy, F.lit(6))).otherwise(1.0) * (1 + 0.02 * F.least(known, F.lit(5)))
+        return let(wordy, lambda w: raise_by(w, F.size(found))) * (1 + 0.02 * F.least(known, F.lit(5)))
 
     return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, 0.2).otherwise(clamp(base * let(tokens(text), raised), 0.15, 1.25))
 
