@@ -118,7 +118,9 @@ def hash_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
     if total <= most:
         return rows
     limit = int(0.9 * most / total * (1 << 62))
-    return rows.where(F.shiftrightunsigned(F.xxhash64(*columns), 2) < F.lit(limit).cast("long"))
+    out = rows.where(F.shiftrightunsigned(F.xxhash64(*columns), 2) < F.lit(limit).cast("long"))
+    out.shared_path = rows.shared_path
+    return out
 
 
 class Filter:
