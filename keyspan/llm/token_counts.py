@@ -1,9 +1,9 @@
 """Token counts with a whole-token shortcut.
 
-Offline (once a worker) every vocabulary string is merged by its own rules: those that end as one
-token are whole tokens.  A pre-token that is a whole token counts 1 without merging; only the rest
-is merged.  Texts made of code points on which the pattern library and the tokenizer's own splitter
-are known to agree are split by pattern, all others by the tokenizer's splitter.
+Offline (once a worker) every vocabulary string is put through the tokenizer's own merges: those that end as one token are
+whole tokens.  A pre-token that is a whole token counts 1 without merging; only the rest is merged.  Pre-tokens are found by a
+pattern over character classes, which are asked of the tokenizer's splitter for every code point, so they agree with it
+whatever Unicode version each was built with.
 """
 
 from __future__ import annotations
@@ -15,39 +15,65 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points below this (Latin, Greek, Cyrillic without the newest letters) split alike in both; tested.
-SAFE_BELOW = 0x530
+#: Most texts have no code points from here on; the short classes below it make the quicker pattern.
+NEAR = 0x530
+#: Code points asked about at once.
+BLOCK = 1 << 12
 #: Merged pre-tokens remembered by a worker at once.
 MEMO = 300_000
 
 
-def safe_class(what: str) -> str:
-    """The code points below SAFE_BELOW of a Unicode class, as ranges for a plain character set."""
-    hits = [c for c in range(SAFE_BELOW) if regex.match(what, chr(c))]
-    starts = [c for c in hits if c - 1 not in hits]
-    ends = [c for c in hits if c + 1 not in hits]
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+def code_point_classes(splitter, low: int, high: int) -> dict[str, list[int]]:
+    """letter, digit and space: the code points from low to high (but surrogates) that the splitter takes for one.
 
-
-def splitter() -> re.Pattern:
-    """Byte-level splitting for safe texts.  Contractions start with an apostrophe and runs of letters or digits don't, so the commoner runs are tried first."""
-    letter, digit, space = (safe_class(c) for c in (r"\p{L}", r"\p{N}", r"\s"))
+    A run that makes one piece with a letter before it is all letters, with a digit all digits, with ! all other marks; else
+    its halves are asked about, and a single code point that joins none is space.
+    """
+    out: dict[str, list[int]] = {"letter": [], "digit": [], "space": [], "mark": []}
+    todo = [range(at, min(at + BLOCK, high)) for at in range(low, high, BLOCK)]
+    while todo:
+        run = todo.pop()
+        text = "".join(chr(c) for c in run if not 0xD800 <= c < 0xE000)
+        kind = next((k for k, lead in (("mark", "!"), ("letter", "a"), ("digit", "1")) if len(splitter.pre_tokenize_str(lead + text)) == 1), None)
+        if kind is None and len(text) > 1:
+            todo += [run[: len(run) // 2], run[len(run) // 2 :]]
+        elif text:
+            out[kind or "space"] += map(ord, text)
+    return {k: sorted(v) for k, v in out.items() if k != "mark"}
+
+
+def ranges(points: list[int]) -> str:
+    """Code points as ranges for a character set."""
+    have = set(points)
+    starts = [c for c in points if c - 1 not in have]
+    ends = [c for c in points if c + 1 not in have]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+def pattern(splitter, high: int) -> re.Pattern:
+    """Byte-level splitting of texts below `high`.  Contractions start with an apostrophe and runs of letters or digits don't, so the commoner runs are tried first."""
+    letter, digit, space = (ranges(p) for p in code_point_classes(splitter, 0, high).values())
     return re.compile(f" ?[{letter}]+| ?[{digit}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-in of each byte in a byte-level vocabulary, by rule: printable Latin-1 bytes stand for themselves."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Memo(dict):
-    """Merged lengths of pre-tokens, worked out at the first look-up; emptied when full, so memory is bounded."""
+    """Numbers of tokens of pre-tokens, merged at the first look-up; emptied when full, so memory is bounded."""
 
     def __init__(self, merge):
         self.merge = merge
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.merge(piece.encode()))
+        n = self.merge(piece)
         if len(piece) <= 64:
             if len(self) >= MEMO:
                 self.clear()
@@ -55,13 +81,6 @@ class Memo(dict):
         return n
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of each byte in a byte-level vocabulary, by rule: printable Latin-1 bytes stand for themselves."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class WholeTokenCounter:
     """Counts tokens of texts as the tokenizer file's library does, special tokens not added."""
 
@@ -71,25 +90,32 @@ class WholeTokenCounter:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
+        if self.library.normalizer is not None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("a byte-level vocabulary without normalizer and prefix space is needed")
         chars = byte_alphabet()
-        ranks = {bytes([b]): b for b in range(256)}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            joined = pair.replace(" ", "") if isinstance(pair, str) else "".join(pair)
-            ranks[bytes(chars[c] for c in joined)] = 256 + rank
-        #: Lowest-ranked adjacent pair first, in native code; splitting is done here, so the pattern isn't used.
-        self.merge = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.stand_ins = {b: c for c, b in chars.items()}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.pattern, self.unsafe = splitter(), re.compile(f"[^\\x00-\\u{SAFE_BELOW - 1:04x}]")
+        self.near, self.beyond = pattern(self.library.pre_tokenizer, NEAR), re.compile(f"[^\\x00-\\u{NEAR - 1:04x}]")
+        merged = self.library.model.tokenize
         self.whole = set()
         for token in spec["model"]["vocab"]:
-            if all(c in chars for c in token):
-                piece = bytes(chars[c] for c in token)
-                if piece in ranks and len(self.merge(piece)) == 1:
-                    with contextlib.suppress(UnicodeDecodeError):  # part of a character: never a whole pre-token
-                        self.whole.add(piece.decode())
+            if all(c in chars for c in token) and len(merged(token)) == 1:
+                with contextlib.suppress(UnicodeDecodeError):  # part of a character: never a whole pre-token
+                    self.whole.add(bytes(chars[c] for c in token).decode())
         self.memo = Memo(self.merge)
 
+    @property
+    def far(self) -> re.Pattern:
+        """The pattern over all code points, made when a worker first needs it."""
+        if not hasattr(self, "_far"):
+            self._far = pattern(self.library.pre_tokenizer, 0x110000)
+        return self._far
+
+    def merge(self, piece: str) -> int:
+        """Number of tokens that a pre-token ends as, by the model's merges."""
+        return len(self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.stand_ins)))
+
     def count(self, text: str) -> int:
         total, whole, rest, at = 0, self.whole, self.memo.__getitem__, 0
         parts = [text]
@@ -101,10 +127,7 @@ class WholeTokenCounter:
             parts.append(text[at:])
             total = len(hits)
         for part in parts:
-            if self.unsafe.search(part):
-                total += len(self.library.encode(part, add_special_tokens=False).ids)
-                continue
-            pieces = self.pattern.findall(part)
+            pieces = (self.far if self.beyond.search(part) else self.near).findall(part)
             left = [p for p in pieces if p not in whole]
             total += len(pieces) - len(left) + sum(map(rest, left))
         return total
