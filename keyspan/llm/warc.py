@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import shared_dir
+from .tables import dropped, hot_keys, remove_shared, shared_dir, spread_join, written
 
-#: Payload bytes aimed at in one archive file, before compression.
-ARCHIVE_BYTES = 16 << 20
+#: Bytes aimed at in one archive file, before compression, and those of a record besides its payload.
+ARCHIVE_BYTES, HEAD_BYTES = 16 << 20, 512
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "page_id {}, uri string, record_type string, payload_digest string, payload_bytes long, refers_to {}, payload binary"
+PAYLOAD = ["payload_digest", "payload_bytes"]
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -73,15 +74,19 @@ def parse_archive(content: bytes):
         at = end + 4 + n + 4
 
 
+#: Arrow types of ids that are numbers; ids of other types are kept as text.
+NUMBERS = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
+
+
 def read_archives(spark: SparkSession, path: str, payload: bool = True, id_type: str = "bigint") -> DataFrame:
     """The records of archives; without payload only headers leave the reader."""
 
     def number(text):
         value = text.removeprefix("<urn:page:").removesuffix(">") if text else "null"
-        return None if value == "null" else int(value) if id_type in ("bigint", "int", "smallint", "tinyint") else value
+        return None if value == "null" else int(value) if id_type in NUMBERS else value
 
     schema = RECORDS.format(id_type, id_type)
-    kind = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
+    kind = NUMBERS.get(id_type, pa.string())
 
     def parse(batches):
         for b in batches:
@@ -108,39 +113,45 @@ def response_records(pages: DataFrame, id_col: str, url_col: str, html_col: str)
     )
 
 
-def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Records with equal payload digests and lengths of at least min_bytes become one response and revisits of it.
+def repeated_payloads(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(payload_digest, payload_bytes, original), written: the smallest id of each payload of at least min_bytes that several records have."""
+    first = headers.where(F.col("payload_bytes") >= min_bytes).groupBy(*PAYLOAD).agg(F.min("page_id").alias("original"), F.count("*").alias("records"))
+    return written(first.where("records > 1 and original is not null").drop("records"), "originals")
+
+
+def resolve_revisits(records: DataFrame, originals: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Records of a repeated payload become its response (those with the smallest id) or revisits of it; all others are responses.
 
-    Only headers are grouped: the smallest id of each payload is a min combined before the shuffle; the records then meet
-    it by digest (the record side may be split where a payload is hot).  Of rows repeating that smallest id all are responses.
-    Incoming revisits point to the payload's new response.
+    Records meet their payload's original by digest and length, so ids may repeat or be null: a record with a null id revisits
+    like others, where all ids of a payload are null there is nothing to refer to and all are responses, and of rows that repeat
+    the smallest id all are.  Incoming revisits point to the payload's new response.  Records of a hot payload are dealt out.
     """
-    keys = ["payload_digest", "payload_bytes"]
-    first = records.where(F.col("payload_bytes") >= min_bytes).groupBy(*keys).agg(F.min("page_id").alias("original"))
-    joined = records.join(first, keys, "left")
+    joined = spread_join(records, originals, PAYLOAD, hot, "left")
     again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("original"))).drop("original")
 
 
 def deduplicate_archives(spark: SparkSession, source: str, target: str, min_bytes: int = 0, id_type: str = "bigint") -> None:
-    """Reads archives, resolves revisits and writes deduplicated archives with fresh headers."""
-    headers = read_archives(spark, source, payload=False, id_type=id_type).drop("payload")
-    again = resolve_revisits(headers, min_bytes).where("record_type = 'revisit'").select("page_id", F.col("refers_to").alias("original")).distinct()
-    full = read_archives(spark, source, id_type=id_type).drop("refers_to", "record_type").join(again, "page_id", "left")
-    kind = F.when(F.col("original").isNotNull(), "revisit").otherwise("response")
-    write_archives(full.withColumn("record_type", kind).withColumnRenamed("original", "refers_to"), target)
+    """Reads archives, resolves revisits and writes deduplicated archives with fresh headers.  Only headers are grouped."""
+    headers = written(read_archives(spark, source, payload=False, id_type=id_type).select("page_id", *PAYLOAD), "headers")
+    originals, hot = repeated_payloads(headers, min_bytes), hot_keys(headers, PAYLOAD)
+    records = read_archives(spark, source, id_type=id_type)
+    write_archives(resolve_revisits(records, originals, hot).select(*records.columns), target)
+    dropped(headers, originals)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes pages as archives, deduplicates those, reads them back; returns the header fields of every record.
 
-    Null html is an empty payload, a null id a record without one (never referred to), repeated rows give repeated records.
+    Null html is an empty payload, a null id a record without one (never referred to), repeated rows and ids give as many
+    records, each judged by its own payload.  Ids that are no integers must be texts without control characters.
     """
     spark, kind = pages.sparkSession, dict(pages.dtypes)[id_col]
     root = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     records = response_records(pages, id_col, url_col, html_col)
-    total = records.agg(F.sum("payload_bytes")).first()[0] or 0
+    total = records.agg(F.sum(F.col("payload_bytes") + HEAD_BYTES)).first()[0] or 0
     write_archives(records.repartition(max(1, -(-total // ARCHIVE_BYTES)), F.xxhash64("page_id", "uri")), f"{root}/raw")
     deduplicate_archives(spark, f"{root}/raw", f"{root}/deduplicated", min_bytes, kind)
+    remove_shared(spark, f"{root}/raw")
     out = read_archives(spark, f"{root}/deduplicated", payload=False, id_type=kind)
     return out.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")

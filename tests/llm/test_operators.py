@@ -122,9 +122,34 @@ def test_token_counts(awkward, documents):
     assert got == sorted((i, len(t.encode()), k, k > 1024) for (i, t), k in zip(texts, n, strict=True))
     counter = token_counts.counter(path)
     assert len(counter.whole) > 40_000
-    for cp in range(token_counts.SAFE_BELOW):
-        x = f"a{chr(cp)}1{chr(cp)} {chr(cp)}!"
-        assert [len(p) for p in counter.pattern.findall(x)] == [b - a for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(x)]
+    blocks = [range(0, token_counts.NEAR)] + [range(a, a + 1024) for a in (0x500, 0x2000, 0x3000, 0x4C00, 0xA400, 0xFE00, 0x10400, 0x1D400, 0x1F400, 0x1FB00, 0x2A000, 0xE0000, 0x10FC00)]
+    for block in blocks:  # the classes are those of the library's splitter
+        x = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}!{chr(c)}{chr(c)}  {chr(c)} " for c in block)
+        want = [b - a for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(x)]
+        assert [len(p) for p in (counter.far if block.stop > token_counts.NEAR else counter.near).findall(x)] == want
+    rng = np.random.default_rng(0)
+    pool = [*map(chr, range(0x20, 0x250)), *"\u2018\u2019\u201c\u201d\u2013\u2014\u2026\u3000\u2003\x85\u200d\ufe0f", *map(chr, range(0x3040, 0x3100)), *map(chr, range(0x4E00, 0x4F00)), *map(chr, range(0x1F600, 0x1F650)), *" '12\n.st" * 30]
+    for _ in range(500):
+        x = "".join(rng.choice(pool, rng.integers(0, 80)))
+        assert counter.count(x) == len(library.encode(x, add_special_tokens=False).ids), x
+
+
+def test_unproven_strings_are_merged(tmp_path):
+    """A vocabulary string that its own merges can't reach isn't a whole token."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"]["qzxj"] = max(spec["model"]["vocab"].values()) + 10
+    path = str(tmp_path / "v.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    counter, library = token_counts.WholeTokenCounter(path), Tokenizer.from_file(path)
+    assert "qzxj" not in counter.whole and "the" in counter.whole
+    assert counter.count("qzxj the") == len(library.encode("qzxj the").ids) > 2
 
 
 def test_rejected_documents_are_mostly_bad(spark, sf_dir):
@@ -142,12 +167,72 @@ def test_junk_is_rejected(spark):
     assert r[0] > 20 and r[1] < 0.1
 
 
+def plain_estimate(x):
+    """(n, mean, covariance, scale) by plain concentration steps."""
+    floor = np.diag(np.square(quality_rules.FLOORS))
+    rank = lambda d, share: np.sort(d, axis=0)[max(int(np.ceil(share * len(d))) - 1, 0)]
+    m, c = rank(x, 0.5), np.diag(((rank(x, 0.75) - rank(x, 0.25)) / 1.349) ** 2)
+    dist = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + floor), x - m)
+    for _ in range(quality_rules.STEPS):
+        d = dist()
+        core = x[d <= rank(d, 0.75)]
+        m, c = core.mean(0), np.cov(core.T, bias=True)
+    return len(x), m, c, max(rank(dist(), 0.5) / quality_rules.MEDIAN, 1.0)
+
+
+def test_verdicts_against_numpy(spark, tmp_path):
+    """kept, end to end: statistics, vectors, estimates of three levels drawn together, distance and cut."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = spark.createDataFrame([(-i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(60 + i)), None if i % 2 else "en", None if i % 3 else "solo") for i in range(1, 9)], "doc_id long, text string, lang string, source string")
+    docs = docs.select(*extra.columns).unionByName(extra)
+    rows = [(r, brute.statistics(r.text)) for r in docs.collect()]
+
+    def vector(s):
+        n, chars = max(s["n_words"], 1), max(s["word_chars"], 1)
+        return [np.log(chars / n), (s["n_symbols"] / chars) ** 0.5, min(1, 5 * s["n_dup_lines"] / n) ** 0.5, (s["n_repeat_words"] / n) ** 0.5, np.log(n)]
+
+    passed = [s["n_words"] >= 50 and 100 * s["n_repeat_words"] <= 50 * s["n_words"] for _, s in rows]
+    x = np.array([vector(s) for _, s in rows])
+    at = {}
+    for key in {k for r, _ in rows for k in ((r.lang, r.source), (r.lang,), ())}:
+        of = np.array([p and (r.lang, r.source)[: len(key)] == key for (r, _), p in zip(rows, passed, strict=True)])
+        at[key] = plain_estimate(x[of]) if of.any() else None
+
+    def blend(own, wide):
+        if own is None or wide is None:
+            return own or wide
+        free = max(own[0] - 10, 0)
+        w = free / (free + quality_rules.PRIOR)
+        return (1 / (w * w / own[0] + (1 - w) ** 2 / wide[0]), *[w * a + (1 - w) * b for a, b in zip(own[1:], wide[1:], strict=True)])
+
+    def quantile(v, z=4.7534, p=5):
+        """The F quantile with p and v degrees of freedom whose cube root's normal form is z, by bisection."""
+        a, b, low, high = 2 / (9 * p), 2 / (9 * v), 0.0, 100.0
+        for _ in range(200):
+            x = (low + high) / 2
+            low, high = (x, high) if ((1 - b) * x - (1 - a)) / (b * x * x + a) ** 0.5 < z else (low, x)
+        return low**3
+
+    floor = np.diag(np.square(quality_rules.FLOORS))
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    near = 0
+    for (r, _), p, v in zip(rows, passed, x, strict=True):
+        n, m, c, scale = blend(at[r.lang, r.source], blend(at[(r.lang,)], at[()]))
+        cut = quality_rules.CUT * quantile(0.75 * n - 4) / quantile(1e12)
+        d = (v - m) @ np.linalg.inv(c + floor) @ (v - m) / scale
+        assert np.isclose(got[r.doc_id].distance, d, rtol=1e-3), (r.doc_id, got[r.doc_id].distance, d)
+        near += abs(d - cut) < 0.01
+        if abs(d - cut) >= 0.01:
+            assert got[r.doc_id].kept == (p and d <= cut)
+    assert near <= 2 and sum(not got[r.doc_id].kept and p for (r, _), p in zip(rows, passed, strict=True)) > 5
+
+
 def test_outliers_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, (600, 5)) * [0.3, 0.4, 0.4, 0.4, 0.8] + [1.6, 1, 1, 1, 6]
     x[:40] += 9
     rows = spark.createDataFrame([("k", *map(float, r)) for r in x], "key string, v1 double, v2 double, v3 double, v4 double, v5 double")
-    est = quality_rules.robust_estimates(rows)
+    est = quality_rules.robust_estimates(rows, 1)
     got = np.array([r.d for r in rows.withColumn("i", F.monotonically_increasing_id()).join(est, "key").withColumn("d", quality_rules.distance()).orderBy("i").collect()])
     far = (got > quality_rules.CUT).sum()
     assert far == 40
@@ -202,6 +287,26 @@ def test_warc_round_trip(spark):
     assert few[1] == few[2] == few[7] == "response" and few[3] == "revisit"
 
 
+def test_warc_repeated_and_null_ids(spark):
+    """Rows out are rows in, each judged by its own payload; the same as the registered SQL."""
+    import duckdb
+
+    cases = [
+        [(1, "A"), (2, "A"), (2, "B"), (None, "A")], [(1, "A"), (0, "B"), (2, "A"), (2, "B")], [(None, "A"), (None, "A"), (3, "C")], [(5, ""), (4, None), (4, ""), (None, None)],
+        [(1, "A"), (1, "A"), (1, "B"), (2, "B"), (7, "A")], [(i % 9, "hot") for i in range(600)] + [(1, "x")],
+    ]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    for kind in ("long", "smallint"):
+        for rows in cases if kind == "long" else cases[:2]:
+            df = spark.createDataFrame([(i, f"u{n}", h) for n, (i, h) in enumerate(rows)], "page_id long, url string, html string").withColumn("page_id", F.col("page_id").cast(kind))
+            got = [tuple(r) for r in warc.archive_pages(df).select(*columns).collect()]
+            con = duckdb.connect()
+            con.execute("create table pages (page_id bigint, html varchar)")
+            con.executemany("insert into pages values (?, ?)", rows)
+            want = con.sql(f"select {', '.join(columns)} from ({queries.ORACLE_SQL['op7_warc_revisits']})").fetchall()
+            assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
+
+
 def test_mix(spark, documents):
     rows = source_mix.mix(documents).collect()
     size = {}
