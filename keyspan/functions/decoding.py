@@ -553,6 +553,35 @@ def decode_tone(sig: np.ndarray, fs: float, freq: float, configs=CONFIGS) -> lis
     return out
 
 
+def legacy_tone(sig: np.ndarray, fs: float, freq: float) -> dict:
+    """The older decode of a tone: one setting, medians of the shorter and longer marks, three clusters of gaps, valid share by duty."""
+    band = kernels.bandpass(sig, fs, freq - 60, freq + 60)
+    env = kernels.envelope(band, fs, "square", 12.0)
+    none = {"text": "", "score": 0.0, "freq": float(freq)}
+    if not len(env) or env.max() <= 0:
+        return none
+    states = (env > auto_threshold(env)).astype(np.int8)
+    if not 0.05 <= states.mean() <= 0.97:
+        low = (env > 0.35 * env.max()).astype(np.int8)
+        states = low if 0.08 < low.mean() < 0.92 else states
+    segs = segments(states, fs)
+    marks = np.array([d for s, d in segs if s == 1])
+    if len(marks) < 3:
+        return none
+    x = np.sort(marks)
+    dit, dah = 1.05 * np.median(x[: len(x) // 2]), 0.95 * np.median(x[len(x) // 2 :])
+    if not 1.8 <= dah / max(dit, 1) <= 5:
+        dit = 0.7 * np.median(x)
+        dah = 3 * dit
+    k = Keyed(segs, dit, dah)
+    k.dash = [bool(d > (dit + dah) / 2) for d in k.marks]
+    dit = 20.0 if dit < 5 else float(dit)
+    k.gaps = three_cluster_gaps(k.spaces, dit)
+    text, duty = k.text(), float(states.mean())
+    valid = sum(c != "?" for c in text) / max(len(text.replace(" ", "")), 1)
+    return {"text": text, "score": float(valid * min(max(1 - 1.5 * abs(duty - 0.4), 0.3), 1.0)), "freq": float(freq), "wpm": round(1200 / dit, 1), "dit_ms": round(dit, 1)}
+
+
 def scan_tones(sig: np.ndarray, fs: float, top: int = 30) -> list[dict]:
     """Candidate tones of the first two seconds, weighed by how keyed the band around them is."""
     n = int(min(len(sig), 2 * fs))

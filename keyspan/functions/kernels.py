@@ -43,7 +43,7 @@ def notch(sig: np.ndarray, fs: float, freq: float = 60.0, q: float = 30.0) -> np
         h = g * (1 - 2 * np.cos(w0) * z + z * z) / (1 - 2 * g * np.cos(w0) * z + (2 * g - 1) * z * z)
         return np.abs(h) ** 2
 
-    return zero_phase(sig, fs, power, int(fs * q / freq / 4)).astype(np.float32)
+    return zero_phase(sig, fs, power, int(fs * q / freq / 4))
 
 
 def moving_average(x: np.ndarray, m: int) -> np.ndarray:
@@ -108,17 +108,16 @@ def gain_alpha(fs: float, ms: float) -> float:
     return 1.0 - np.exp(-1000.0 / (fs * ms / 1000.0))
 
 
-def slow_gain(sig: np.ndarray, fs: float, attack_ms: float = 50.0, release_ms: float = 2000.0, target: float = 0.7, low: float = 0.1, high: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
-    """(output, gain) sample by sample: the gain falls with the attack and rises with the release constant."""
-    env, gain = 0.0, 1.0
+def slow_gain(sig: np.ndarray, fs: float, attack_ms: float = 50.0, release_ms: float = 2000.0, target: float = 0.7, low: float = 0.1, high: float = 50.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(output, envelope, gain) sample by sample: the gain falls with the attack and rises with the release constant."""
+    x = np.asarray(sig, float)
     a_env, fall, rise = 1 - np.exp(-1 / (0.5 * fs)), gain_alpha(fs, attack_ms), gain_alpha(fs, release_ms)
-    gains = np.empty(len(sig))
-    for i, v in enumerate(np.abs(np.asarray(sig, float))):
-        env = v if i == 0 else env + a_env * (v - env)
-        want = min(max(target / (env + 1e-6), low), high)
-        gain += (fall if want < gain else rise) * (want - gain)
-        gains[i] = gain = min(max(gain, low), high)
-    return np.clip(np.asarray(sig) * gains, -1, 1), gains
+    env = np.r_[np.abs(x[:1]), one_pole(np.abs(x[1:]), a_env, float(np.abs(x[0])))] if len(x) else x
+    want, gains, gain = np.clip(target / (env + 1e-6), low, high), np.empty(len(x)), 1.0
+    for i, w in enumerate(want.tolist()):
+        gain += (rise if w > gain else fall) * (w - gain)
+        gains[i] = gain
+    return np.clip(x * gains, -1, 1), env, gains
 
 
 def fast_gain(sig: np.ndarray, fs: float, attack_ms: float = 50.0, release_ms: float = 2000.0, target: float = 0.7, low: float = 0.1, high: float = 50.0) -> np.ndarray:
@@ -137,10 +136,6 @@ def gain_control(sig: np.ndarray, fs: float, mode: str = "slow") -> np.ndarray:
     return np.asarray(sig) if mode == "none" else fast_gain(sig, fs, *GAIN_MODES.get(mode, GAIN_MODES["slow"]))
 
 
-def gain_statistics(gains: np.ndarray) -> dict[str, float]:
-    return {"avg": float(gains.mean()), "min": float(gains.min()), "max": float(gains.max()), "range_db": float(20 * np.log10(gains.max() / max(gains.min(), 1e-9))), "std": float(gains.std())}
-
-
 def costas_loop(sig: np.ndarray, fs: float, f0: float, bandwidth: float = 10.0, damping: float = 0.707, reach: float = 20.0) -> dict[str, np.ndarray | float | bool]:
     """Tracks a carrier: freq and phase per sample, I and Q, and whether the last 100 frequencies are steady (std below 1)."""
     dt = 1 / fs
@@ -174,7 +169,84 @@ def coherent_gain_db(window: int) -> float:
 
 def adaptive_window_ms(fs: float, want_db: float) -> int:
     """Integration time for a gain, in steps of 10 from 50 to 200 ms."""
-    return int(min(max((10 ** (want_db / 10)) ** 2 / fs * 1000, 50), 200) // 10 * 10)
+    return 50 if want_db <= 0 else int(min(max((10 ** (want_db / 10)) ** 2 / fs * 1000, 50), 200) // 10 * 10)
+
+
+def adaptive_envelope(sig: np.ndarray, fs: float, freq: float, target_db: float = 10.0) -> tuple[np.ndarray, int]:
+    """(coherent envelope, ms used): the integration time that lifts the signal's own ratio of peak to median power (100 to 2000 Hz) to the target."""
+    f, p = np.fft.rfftfreq(len(sig), 1 / fs), np.abs(np.fft.rfft(sig)) ** 2
+    p = p[(f > 100) & (f < 2000)]
+    own = 0.0 if not len(p) else 30.0 if np.median(p) < 1e-10 else float(10 * np.log10(p.max() / np.median(p)))
+    ms = adaptive_window_ms(fs, target_db - own)
+    return coherent_envelope(sig, fs, freq, max(int(ms / 1000.0 * fs), 1)), ms
+
+
+def lowpass(sig: np.ndarray, fs: float, cutoff: float, order: int = 2) -> np.ndarray:
+    """Zero-phase Butterworth low-pass."""
+    edge = np.tan(np.pi * min(cutoff, fs / 2 * 0.999999) / fs)
+    return zero_phase(sig, fs, lambda f: 1 / (1 + (np.tan(np.pi * np.minimum(f, fs / 2 * 0.999999) / fs) / edge) ** (2 * order)), 3 * (order + 1))
+
+
+def smooth_loop(sig: np.ndarray, fs: float, f0: float, bandwidth: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+    """(frequency, in-phase product) of a block: steps of the unwrapped angle against f0, low-passed at twice the bandwidth."""
+    x = np.asarray(sig, float)
+    angle = np.unwrap(np.angle(x * np.exp(-2j * np.pi * f0 / fs * np.arange(len(x)))))
+    track = lowpass(np.r_[f0, np.diff(angle) * fs / (2 * np.pi) + f0], fs, min(2 * bandwidth, fs / 4))
+    return track, x * np.cos(2 * np.pi * np.cumsum(track) / fs)
+
+
+def resampling_filter(up: int, down: int) -> np.ndarray:
+    """Kaiser-windowed low-pass of ten zero crossings to each side, for a rate of up / down."""
+    most = max(up, down)
+    k = np.arange(-10 * most, 10 * most + 1)
+    h = np.sinc(k / most) * np.kaiser(len(k), 5.0)
+    return h / h.sum() * up
+
+
+def resampled(sig: np.ndarray, fs: int, to: int = 8000) -> np.ndarray:
+    """sig at the rate `to`: each output sample is a sum over the inputs under the filter."""
+    g = int(np.gcd(int(fs), int(to)))
+    up, down = int(to) // g, int(fs) // g
+    x = np.asarray(sig, float)
+    if up == down or not len(x):
+        return x.copy()
+    h, half, n = resampling_filter(up, down), 10 * max(up, down), -(-len(x) * up // down)
+    place = np.arange(n) * down  # on the grid of the raised rate
+    first = -(-(place - half) // up)
+    out = np.zeros(n)
+    for j in range(2 * half // up + 1):
+        k = first + j
+        tap = place - k * up + half
+        ok = (k >= 0) & (k < len(x)) & (tap >= 0) & (tap <= 2 * half)
+        out[ok] += x[k[ok]] * h[tap[ok]]
+    return out
+
+
+class StreamBandpass:
+    """A Butterworth band-pass of order 2 on each side whose state goes on from chunk to chunk: four one-pole filters on complex poles, summed."""
+
+    def __init__(self, fs: float, low: float, high: float):
+        a, b = (np.tan(np.pi * f / fs) for f in (low, high))
+        proto = np.exp(1j * np.pi * (2 * np.arange(1, 3) + 1) / 4)  # of the low-pass of order 2
+        half = proto * (b - a) / 2
+        s = np.r_[half + np.sqrt(half**2 - a * b), half - np.sqrt(half**2 - a * b)]
+        self.pole = (1 + s) / (1 - s)
+        zeros = np.array([1.0, 1.0, -1.0, -1.0])
+        gain = (b - a) ** 2 / np.prod(1 - s)
+        # partial fractions of gain * prod(1 - zero / z) / prod(1 - pole / z)
+        self.part = np.array([gain * np.prod(1 - zeros / p) / np.prod(1 - np.delete(self.pole, k) / p) for k, p in enumerate(self.pole)])
+        self.direct = float(np.real(gain * np.prod(zeros) / np.prod(self.pole)))
+        self.state = np.zeros(4, complex)
+
+    def process(self, chunk: np.ndarray) -> np.ndarray:
+        x = np.asarray(chunk, float)
+        out = np.empty(len(x))
+        pole, state = self.pole, self.state
+        for i, v in enumerate(x.tolist()):
+            state = state * pole + v
+            out[i] = (self.part @ state).real
+        self.state = state
+        return out + self.direct * x
 
 
 def refine_frequency(sig: np.ndarray, fs: float, f0: float, reach: float = 12.0, step: float = 0.5, block_ms: float = 40.0) -> float:

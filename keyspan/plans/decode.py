@@ -10,51 +10,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import decoding, kernels
+from ..functions import contest, decoding, kernels
 from ..operators import scoring
+from . import model_hook
 
-HYPOTHESIS = "rec_id string, hyp_id int, text string, score double, freq double, freq_initial double, snr_db double, dit double, dah double, wpm double, duty_cycle double, bw_hz double, smooth_ms double, env_method string"
+HYPOTHESIS = "rec_id string, hyp_id int, tone int, text string, score double, freq double, freq_initial double, snr_db double, dit double, dah double, wpm double, duty_cycle double, bw_hz double, smooth_ms double, env_method string"
 _NAMES = [c.strip().split(" ")[0] for c in HYPOTHESIS.split(",")]
 _KINDS = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.strip().split(" ")[1]] for c in HYPOTHESIS.split(",")]
 OFFSETS = (1.5, 3.0, 4.5, 6.0, 9.0, 12.0, 15.0, 18.0)
+#: Seconds from which a recording is decoded in windows, their length and overlap; seconds from which tones are looked for at three places.
+LONG, WINDOW, OVERLAP, PLACES_FROM = 120.0, 60.0, 15.0, 60.0
+#: Further tones tried around weak candidates, at most.
+EXTRA = 24
 
 
-def recording_hypotheses(sig: np.ndarray, fs: float, force_freq: float | None = None, tones: int = 4) -> list[dict]:
-    """Hypotheses of one recording: up to four tones, each refined and decoded in every setting, then offsets of the best if all are weak."""
+def found_tones(sig: np.ndarray, clean: np.ndarray, fs: int) -> list[dict]:
+    """Candidate tones: of a recording beyond a minute, those of the quarter, the middle or the third quarter (20 s each) whose best is best."""
+    parts = [sig]
+    if len(sig) > PLACES_FROM * fs:
+        half = int(10 * fs)
+        parts = [sig[max(0, int(x * len(sig)) - half) : int(x * len(sig)) + half] for x in (0.25, 0.5, 0.75)]
+    scans = [decoding.scan_tones(p, fs) for p in parts]
+    best = max(scans, key=lambda c: c[0]["score"] if c else -1.0)
+    return decoding.apart(best + decoding.track_tones(clean, fs), 2.5)
+
+
+def garble(text: str) -> float:
+    return text.count("?") / max(len(text.replace(" ", "")), 1)
+
+
+def recording_hypotheses(sig: np.ndarray, fs: float, force_freq: float | None = None, tones: int = 4, grid: bool = True, model=None, use_model: bool | str = "auto") -> list[dict]:
+    """Hypotheses of one recording.
+
+    Up to four tones, each refined and decoded in every setting; if the best is weak, further candidates and a grid around the
+    first ones (six for garbled texts, else three), unless it is a window of a long recording (grid=False); then the texts voted to one, and a model's text where one is given and wanted.
+    """
     clean = kernels.notch(sig, fs)
-    if force_freq:
-        cands = [{"freq": float(force_freq), "score": 1.0}]
-    else:
-        cands = decoding.apart(decoding.scan_tones(sig, fs) + decoding.track_tones(clean, fs), 2.5)
+    cands = [{"freq": float(force_freq), "score": 1.0}] if force_freq else found_tones(sig, clean, fs)
     out: list[dict] = []
-    for c in cands[:tones]:
+    for number, c in enumerate(cands[:tones]):
         freq = c["freq"] if force_freq else kernels.refine_frequency(clean, fs, c["freq"])
         snr = kernels.snr_db(clean, fs, freq)
-        out += [h | {"freq_initial": c["freq"], "snr_db": snr} for h in decoding.decode_tone(clean, fs, freq)]
+        out += [h | {"freq_initial": c["freq"], "snr_db": snr, "tone": number} for h in decoding.decode_tone(clean, fs, freq)]
         if out and max(h["score"] for h in out) >= 0.95:
             break
     best = max(out, key=lambda h: h["score"], default=None)
-    if best and best["score"] < 0.85:
-        for step in OFFSETS:
-            for f in (best["freq"] - step, best["freq"] + step):
-                out += [h | {"freq_initial": best["freq_initial"], "snr_db": best["snr_db"]} for h in decoding.decode_tone(clean, fs, f, decoding.FAST)]
-            if max(h["score"] for h in out) >= 0.92:
+    if best is None:
+        return out
+    bad = decoding.dominant(best["text"]) > 0.35 or garble(best["text"]) > 0.20 or best["score"] < 0.45 or decoding.plausibility(best["text"]) < 0.55
+    if grid and (bad or best["score"] < 0.85):
+        centres = [c["freq"] for c in cands[: 6 if bad else 3]]
+        wanted = [c["freq"] for c in cands[tones:10]] + [f + d for step in OFFSETS for d in (-step, step) for f in centres]
+        seen, tried = {round(h["freq"], 1) for h in out}, 0
+        for f in wanted:
+            if round(f, 1) in seen or tried == EXTRA:
+                continue
+            seen.add(round(f, 1))
+            more = [h | {"freq_initial": best["freq_initial"], "snr_db": best["snr_db"], "tone": tones} for h in decoding.decode_tone(clean, fs, f, decoding.FAST)]
+            out, tried = out + more, tried + bool(more)
+            top = max(more, key=lambda h: h["score"], default=best)
+            clear = decoding.dominant(top["text"]) < 0.28 and garble(top["text"]) < 0.10 and decoding.plausibility(top["text"]) >= 0.9
+            if top["score"] >= 0.92 and clear or not bad and top["score"] >= 0.95:
                 break
-    return out
+    best = max(out, key=lambda h: h["score"])
+    if garble(best["text"]) > 0 and (text := contest.fused(out)) and garble(text) < garble(best["text"]):
+        out.append(best | {"text": text, "score": min(1.0, best["score"] + garble(best["text"]) - garble(text)), "env_method": "fused"})
+    told = model_hook.chosen(model, clean, int(fs), best, use_model)
+    return out + [told | {"env_method": "model"}] if told is not best else out
+
 
+def hypotheses(recordings: DataFrame, force_freq: float | None = None, model=None, use_model: bool | str = "auto") -> DataFrame:
+    """Rows of HYPOTHESIS for recordings (rec_id, fs, samples); the audio is read once and not shuffled.
 
-def hypotheses(recordings: DataFrame, force_freq: float | None = None) -> DataFrame:
-    """Rows of HYPOTHESIS for recordings (rec_id, fs, samples); the audio is read once and not shuffled."""
+    A recording beyond two minutes is cut to overlapping windows, each a row with hypotheses of its own, so it is the work of
+    many tasks; hyp_id counts 10,000 a window.
+    """
+    from .contest import windows
+
+    long = F.size("samples") > LONG * F.col("fs")
+    parts = recordings.where(~F.coalesce(long, F.lit(False))).select("rec_id", "fs", F.lit(0.0).alias("start"), "samples", F.lit(True).alias("grid"))
+    parts = parts.unionByName(windows(recordings.where(long), WINDOW, WINDOW - OVERLAP, WINDOW / 2).withColumn("grid", F.lit(False)))
 
     def decode(batches):
         for b in batches:
-            for rec, fs, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for rec, fs, start, x, grid in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), b.column(4).to_pylist(), strict=True):
                 sig = np.asarray(x.values, float) if x.is_valid else np.zeros(0)
-                found = recording_hypotheses(sig, fs, force_freq) if fs and len(sig) >= fs // 4 else []
-                rows = [h | {"rec_id": rec, "hyp_id": i} for i, h in enumerate(found)]
+                found = recording_hypotheses(sig, fs, force_freq, grid=grid, model=model, use_model=use_model) if fs and len(sig) >= fs // 4 else []
+                first = 10_000 * round(start / (WINDOW - OVERLAP))
+                rows = [h | {"rec_id": rec, "hyp_id": first + i} for i, h in enumerate(found)]
                 yield pa.record_batch([pa.array([r.get(n) for r in rows], k) for n, k in zip(_NAMES, _KINDS, strict=True)], names=_NAMES)
 
-    return recordings.select("rec_id", "fs", "samples").mapInArrow(decode, HYPOTHESIS)
+    return parts.mapInArrow(decode, HYPOTHESIS)
 
 
 def selection_key(score, text, freq, first):
@@ -107,7 +153,41 @@ def consensus(hyps: DataFrame) -> DataFrame:
     return listed.mapInArrow(pick, "rec_id string, hyp_id int").where("hyp_id is not null")
 
 
-def decode(recordings: DataFrame, force_freq: float | None = None, force_wpm: float | None = None, reference: str | None = None, correct: bool = True) -> DataFrame:
+def preferred(ranked: DataFrame) -> DataFrame:
+    """The first-ranked row of each recording, or the best one of the tone first found, if that is off by 1 Hz or more, scores 97 % as
+    much, and isn't the worse text by a single letter, unknown signs or a low score."""
+    first = Window.partitionBy("rec_id")
+    own = F.when(F.col("tone") == 0, F.struct((-F.col("rank")).alias("order"), "hyp_id", "score", "freq", "text"))
+    rows = ranked.withColumn("own", F.max(own).over(first)).withColumn("top", F.max(F.when(F.col("rank") == 1, F.struct("hyp_id", "score", "freq", "text"))).over(first))
+    unknown = lambda t: (F.length(t) - F.length(F.translate(t, "?", ""))) / F.greatest(F.length(F.translate(t, " ", "")), F.lit(1))
+    own_mono, top_mono = scoring.dominant_letter(F.col("own.text")), scoring.dominant_letter(F.col("top.text"))
+    worse = ((own_mono > 0.42) & (top_mono < 0.35)) | ((unknown(F.col("own.text")) > 0.25) & (unknown(F.col("top.text")) < 0.12)) | ((F.col("own.score") < 0.35) & (F.col("top.score") >= 0.5))
+    take = (F.abs(F.col("own.freq") - F.col("top.freq")) >= 1.0) & (F.col("own.score") >= 0.97 * F.col("top.score")) & ~worse
+    rows = rows.withColumn("chosen", F.when(F.coalesce(take, F.lit(False)), F.col("own.hyp_id")).otherwise(F.col("top.hyp_id")))
+    return rows.where("hyp_id = chosen").drop("own", "top", "chosen")
+
+
+def legacy(recordings: DataFrame, reference: str | None = None) -> DataFrame:
+    """(rec_id, text, score, freq, wpm, dit_ms, method, error): the older decoder, the best of the three strongest tones in one setting."""
+    schema = "rec_id string, text string, score double, freq double, wpm double, dit_ms double, method string, error string"
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for rec, fs, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                sig = np.asarray(x.values, float) if x.is_valid else np.zeros(0)
+                cands = decoding.scan_tones(sig, fs)[:3] if fs and len(sig) >= fs // 4 else []
+                tried = [decoding.legacy_tone(sig, fs, c["freq"]) for c in cands]
+                top = max(tried, key=lambda h: h["score"], default={"text": "", "error": "no candidate tone"})
+                rows.append(top | {"rec_id": rec, "method": "legacy"})
+            yield pa.record_batch([pa.array([r.get(n) for r in rows], pa.float64() if n in ("score", "freq", "wpm", "dit_ms") else pa.string()) for n in names], names=names)
+
+    out = recordings.select("rec_id", "fs", "samples").mapInArrow(run, schema)
+    return with_accuracy(out, F.lit(reference)) if reference is not None else out
+
+
+def decode(recordings: DataFrame, force_freq: float | None = None, force_wpm: float | None = None, reference: str | None = None, correct: bool = True, model=None, use_model: bool | str = "auto") -> DataFrame:
     """One result row a recording.  force_wpm is taken and, as ever, not used.
 
     A repaired text is scored anew, also where that is lower.  The agreed hypothesis wins where texts agree and it isn't clearly worse than the best by key; text_raw is before repair.
@@ -115,11 +195,12 @@ def decode(recordings: DataFrame, force_freq: float | None = None, force_wpm: fl
     """
     from ..operators.repair import semantic_correct
 
-    hyps = hypotheses(recordings, force_freq).withColumn("key", F.round(selection_key(F.col("score"), F.col("text"), F.col("freq"), F.col("freq_initial")), 9))
+    hyps = hypotheses(recordings, force_freq, model, use_model).withColumn("key", F.round(selection_key(F.col("score"), F.col("text"), F.col("freq"), F.col("freq_initial")), 9))
     agreed = consensus(hyps).select("rec_id", F.col("hyp_id").alias("agreed"))
     w = Window.partitionBy("rec_id").orderBy(F.desc("choice"), "hyp_id")
     choice = F.col("key") * F.when(F.col("hyp_id") == F.col("agreed"), 1.05).otherwise(1.0)
-    best = hyps.join(agreed, "rec_id", "left").withColumn("choice", choice).withColumn("rank", F.row_number().over(w)).where("rank = 1")
+    ranked = hyps.join(agreed, "rec_id", "left").withColumn("choice", choice).withColumn("rank", F.row_number().over(w))
+    best = preferred(ranked)
     out = recordings.select("rec_id").join(best, "rec_id", "left").withColumn("text_raw", F.coalesce("text", F.lit("")))
     out = out.withColumn("text_raw", F.replace(F.replace("text_raw", F.lit("<AR>"), F.lit("+")), F.lit("<SK>"), F.lit("+")))
     if correct:
@@ -130,7 +211,7 @@ def decode(recordings: DataFrame, force_freq: float | None = None, force_wpm: fl
     out = out.withColumn("score", F.when(F.size("corrections") > 0, again).otherwise(F.col("score")))
     out = out.select(
         "rec_id", "text", "text_raw", "score", "freq", "freq_initial", "snr_db", F.round("wpm", 1).alias("wpm"), F.round("dit", 1).alias("dit_ms"), F.round("dah", 1).alias("dah_ms"),
-        F.lit("standard").alias("method"), F.size("corrections").alias("corrections"), F.when(F.col("score").isNull(), "no candidate tone").alias("error"),
+        F.when(F.col("env_method").isin("model", "fused"), F.col("env_method")).otherwise("standard").alias("method"), F.size("corrections").alias("corrections"), F.when(F.col("score").isNull(), "no candidate tone").alias("error"),
     )
     return with_accuracy(out, F.lit(reference)) if reference is not None else out
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import repair_text
+from .functions import kernels, repair_text
 from .functions.codes import CODE_OF, PLAUSIBLE
 from .functions.vocabulary import CALL_PATTERN, KNOWN_CALLS, USUAL_REPORTS
 from .functions.vocabulary import WORDS as KNOWN_WORDS
 from .operators import binarize, keying, repair, scoring, series, spectral, timing
+from .operators import recordings as whole
 from .plans import contest, decode
 from .sources import audio
 from .streaming import channels
@@ -574,13 +576,18 @@ def contest_quality(spark, sf_dir):
     return split.select("c_custkey", F.round(scoring.contest_quality(F.col("text")), 6).alias("quality"))
 
 
-@query()
-def contest_transcript(spark, sf_dir):
-    """An exchange keyed for each nation, decoded in overlapping windows and stitched."""
+def contest_audio(spark, sf_dir):
+    """An exchange keyed for each nation."""
     k = F.col("n_nationkey")
     text = F.format_string("YO%dAAC 5NN %04d TU DL%dABC 5NN %04d TU", k % 10, 2000 + k, (k + 3) % 10, 2001 + k)
     n = table(spark, sf_dir, "nation").select(k.cast("string").alias("id"), text.alias("t")).repartition(8)
-    return rounded(contest.transcript(audio.synthesized(n, "id", "t", 4000, 700.0, 25.0), 700.0, 16.0, 9.0), "score", places=4)
+    return audio.synthesized(n, "id", "t", 4000, 700.0, 25.0)
+
+
+@query()
+def contest_transcript(spark, sf_dir):
+    """Exchanges decoded in overlapping windows and stitched."""
+    return rounded(contest.transcript(contest_audio(spark, sf_dir), 700.0, 16.0, 9.0), "score", places=4)
 
 
 @query(f"""WITH n AS (SELECT p_partkey, lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS n FROM part), u(r) AS (VALUES {", ".join(f"('{r}')" for r in USUAL_REPORTS)}),
@@ -664,7 +671,7 @@ def word_break(spark, sf_dir):
     return repair.semantic_correct(x, "rec", "raw", phases=(repair_text.merged_words,)).select("rec", "raw", "text")
 
 
-@query()
+@query(f"SELECT {TURN} AS rec, {KEYABLE} AS text FROM conversations WHERE len(string_split({KEYABLE}, ' ')) // 2 > 4")
 def overlap_stitch(spark, sf_dir):
     """Each turn of a conversation cut into two windows that overlap by four words, stitched back."""
     from pyspark.sql.types import StringType
@@ -675,6 +682,170 @@ def overlap_stitch(spark, sf_dir):
     return x.select("rec", join(F.array_join(F.slice("w", F.lit(1), F.col("h")), " "), F.array_join(F.slice("w", F.col("h") - 3, F.size("w")), " ")).alias("text"))
 
 
+# --- recordings by kernels: blocks of 64 values are recordings ---------------------------------------------------------------
+
+BLOCKS = VECTORS.replace("s AS (", "s AS MATERIALIZED (", 1)
+FS = 8000
+
+
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rec"), "embedding")
+
+
+GAIN_ENV = 1 - math.exp(-1 / (0.5 * FS))
+
+
+def gain_sql(attack: float, release: float) -> str:
+    fall, rise = float(kernels.gain_alpha(FS, attack)), float(kernels.gain_alpha(FS, release))
+    want = "least(greatest(0.7::DOUBLE / (env + 1e-6), 0.1), 50)"
+    change = lambda g: f"{g} + CASE WHEN {want} > {g} THEN {rise!r}::DOUBLE ELSE {fall!r}::DOUBLE END * ({want} - {g})"
+    first = f"rec, i, v, env, {change('1.0')} AS gain FROM (SELECT *, abs(v) AS env FROM s)"
+    step = f"rec, i, v, env, {change('gain')} AS gain FROM (SELECT s.rec, s.i, s.v, r.env + {GAIN_ENV!r}::DOUBLE * (abs(s.v) - r.env) AS env, r.gain FROM r JOIN s ON s.rec = r.rec AND s.i = r.i + 1)"
+    return f"WITH RECURSIVE {BLOCKS}, r AS (SELECT {first} WHERE i = 0 UNION ALL SELECT {step})"
+
+
+def fast_gain_sql(attack: float, release: float) -> str:
+    alpha = float(kernels.gain_alpha(FS, attack) + kernels.gain_alpha(FS, release)) / 2
+    want = "least(greatest(0.7::DOUBLE / (env + 1e-6), 0.1), 50)"
+    first = f"rec, i, v, env, {alpha!r}::DOUBLE * {want} AS gain FROM (SELECT *, {GAIN_ENV!r}::DOUBLE * abs(v) AS env FROM s)"
+    step = f"rec, i, v, env, (1 - {alpha!r}::DOUBLE) * gain + {alpha!r}::DOUBLE * {want} AS gain FROM (SELECT s.rec, s.i, s.v, (1 - {GAIN_ENV!r}::DOUBLE) * r.env + {GAIN_ENV!r}::DOUBLE * abs(s.v) AS env, r.gain FROM r JOIN s ON s.rec = r.rec AND s.i = r.i + 1)"
+    return f"WITH RECURSIVE {BLOCKS}, r AS (SELECT {first} WHERE i = 0 UNION ALL SELECT {step}) SELECT rec, i, round(least(greatest(v * least(greatest(gain, 0.1), 50), -1), 1), 6) AS v FROM r"
+
+
+@query(gain_sql(50, 2000) + " SELECT rec, i, round(least(greatest(v * gain, -1), 1), 6) AS v, round(env, 6) AS env, round(gain, 6) AS gain FROM r")
+def gain_samples(spark, sf_dir):
+    return rounded(whole.gained(vectors(spark, sf_dir), "rec", "embedding", FS), "v", "env", "gain")
+
+
+@query(fast_gain_sql(50, 2000))
+def gain_slow(spark, sf_dir):
+    return rounded(whole.gain_mode(vectors(spark, sf_dir), "rec", "embedding", FS, "slow"), "v")
+
+
+@query(fast_gain_sql(20, 500))
+def gain_fast(spark, sf_dir):
+    return rounded(whole.gain_mode(vectors(spark, sf_dir), "rec", "embedding", FS, "fast"), "v")
+
+
+@query(fast_gain_sql(50, 1000))
+def fading_compensated(spark, sf_dir):
+    return rounded(whole.fading_compensated(vectors(spark, sf_dir), "rec", "embedding", FS, 2.0), "v")
+
+
+@query(gain_sql(50, 2000) + """ SELECT rec, round(avg(gain), 6) AS avg_gain, round(min(gain), 6) AS min_gain, round(max(gain), 6) AS max_gain, round(20 * log10(max(gain) / (min(gain) + 1e-6)), 6) AS range_db, round(avg(env), 6) AS env_mean, round(stddev_pop(env), 6) AS env_std FROM r GROUP BY rec""")
+def gain_diagnostics(spark, sf_dir):
+    return rounded(whole.gain_diagnostics(whole.gained(vectors(spark, sf_dir), "rec", "embedding", FS)), "avg_gain", "min_gain", "max_gain", "range_db", "env_mean", "env_std")
+
+
+def loop_sql(f0: float, bandwidth: float, damping: float = 0.707, reach: float = 20.0) -> str:
+    wn = 2 * math.pi * bandwidth / (damping + 1 / (4 * damping)) / FS
+    d = 1 + 2 * damping * wn + wn * wn
+    alpha, beta = 2 * damping * wn / d, wn * wn / d
+    err = "sign(v * cos(phase)) * (-v * sin(phase))"
+    move = f"""rec, i, f AS freq, atan2(sin(p), cos(p)) AS phase, re, im FROM (SELECT rec, i, f, re, im, phase + {2 * math.pi / FS!r}::DOUBLE * f + {alpha!r}::DOUBLE * err AS p
+  FROM (SELECT rec, i, phase, re, im, err, least(greatest(freq + {beta * FS!r}::DOUBLE * err, {f0 - reach}), {f0 + reach}) AS f FROM (SELECT rec, i, freq, phase, v * cos(phase) AS re, -v * sin(phase) AS im, {err} AS err"""
+    first = f"{move} FROM (SELECT rec, i, v, {f0}::DOUBLE AS freq, 0.0::DOUBLE AS phase FROM s WHERE i = 0))))"
+    step = f"{move} FROM (SELECT s.rec, s.i, s.v, r.freq, r.phase FROM r JOIN s ON s.rec = r.rec AND s.i = r.i + 1))))"
+    return f"WITH RECURSIVE {BLOCKS}, r AS (SELECT {first} UNION ALL SELECT {step})"
+
+
+@query(loop_sql(700.0, 10.0) + " SELECT rec, i, round(freq, 5) AS freq, round(cos(phase), 5) + 0 AS turn, round(re, 5) + 0 AS re, round(im, 5) + 0 AS im FROM r")
+def carrier_loop(spark, sf_dir):
+    rows = whole.carrier(vectors(spark, sf_dir), "rec", "embedding", FS, 700.0).withColumn("turn", F.cos("phase")).drop("phase")
+    return rows.select("rec", "i", *[(F.round(c, 5) + 0).alias(c) for c in ("freq", "turn", "re", "im")])
+
+
+@query(loop_sql(700.0, 5.0) + """, n AS (SELECT *, count(*) OVER (PARTITION BY rec) AS n FROM r)
+SELECT rec, max(n) > 40 AND stddev_pop(freq) FILTER (i >= n - 40) < 1 AS locked, round(arg_max(freq, i), 5) AS current, round(avg(freq), 5) AS avg_freq, max(n) AS samples FROM n GROUP BY rec""")
+def loop_lock(spark, sf_dir):
+    tracks = whole.carrier(vectors(spark, sf_dir), "rec", "embedding", FS, 700.0, 5.0)
+    return rounded(whole.lock_status(tracks, 700.0, 40), "current", "avg_freq", places=5).select("rec", "locked", "current", "avg_freq", "samples")
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, r AS (SELECT rec, i, 0.2::DOUBLE * v AS y FROM s WHERE i = 0 UNION ALL SELECT s.rec, s.i, 0.8::DOUBLE * r.y + 0.2::DOUBLE * s.v FROM r JOIN s ON s.rec = r.rec AND s.i = r.i + 1)
+SELECT rec, i, round(y, 6) + 0 AS v FROM r""")
+def ema_series(spark, sf_dir):
+    return whole.exponential_series(vectors(spark, sf_dir), "rec", "embedding", 0.2).select("rec", "i", (F.round("v", 6) + 0).alias("v"))
+
+
+def spectrum_filter_sql(power: str) -> str:
+    """A response over frequencies f applied to blocks that are odd-extended by 63 samples at both ends."""
+    return f"""WITH {BLOCKS}, x0 AS (SELECT rec, min(v) FILTER (i = 0) AS a, min(v) FILTER (i = 63) AS z FROM s GROUP BY rec),
+e AS MATERIALIZED (SELECT rec, i + 63 AS j, v FROM s UNION ALL SELECT rec, 63 - i, 2 * a - v FROM s JOIN x0 USING (rec) WHERE i > 0 UNION ALL SELECT rec, 189 - i, 2 * z - v FROM s JOIN x0 USING (rec) WHERE i < 63),
+b AS (SELECT b, b * ({FS}::DOUBLE / 256) AS f FROM (SELECT unnest(range(0, 129)) AS b)), p AS MATERIALIZED (SELECT b, ({power}) * CASE WHEN b IN (0, 128) THEN 1 ELSE 2 END / 256.0::DOUBLE AS p FROM b),
+t AS MATERIALIZED (SELECT k, cos(k * (2 * pi() / 256)) AS c, sin(k * (2 * pi() / 256)) AS s FROM (SELECT unnest(range(0, 256)) AS k)),
+d AS MATERIALIZED (SELECT rec, p.b, p * sum(v * t.c) AS re, p * sum(v * t.s) AS im FROM e, p JOIN t ON t.k = (p.b * j) % 256 GROUP BY rec, p.b, p)
+SELECT rec, i, round(sum(re * t.c + im * t.s), 6) + 0 AS v FROM d, (SELECT unnest(range(0, 64)) AS i) JOIN t ON t.k = (d.b * (i + 63)) % 256 GROUP BY rec, i"""
+
+
+_A, _B = math.tan(math.pi * 640 / FS), math.tan(math.pi * 760 / FS)
+_WARP = f"greatest(tan(pi() * least(f, {FS / 2 * 0.999999!r}) / {FS}), 1e-12)"
+_W0, _C0 = 2 * math.pi * 60 / FS, math.cos(2 * math.pi * 60 / FS)
+_G = 1 / (1 + math.tan(_W0 / 60))
+_W = f"(2 * pi() * f / {FS})"
+
+
+@query(spectrum_filter_sql(f"1 / (1 + pow(({_WARP} * {_WARP} - {_A * _B!r}::DOUBLE) / ({_WARP} * {_B - _A!r}::DOUBLE), 8))"))
+def bandpass(spark, sf_dir):
+    return whole.bandpassed(vectors(spark, sf_dir), "rec", "embedding", FS, 640, 760).select("rec", "i", (F.round("v", 6) + 0).alias("v"))
+
+
+@query(spectrum_filter_sql(f"""{_G * _G!r}::DOUBLE * (pow(1 - {2 * _C0!r}::DOUBLE * cos({_W}) + cos(2 * {_W}), 2) + pow({2 * _C0!r}::DOUBLE * sin({_W}) - sin(2 * {_W}), 2))
+  / (pow(1 - {2 * _G * _C0!r}::DOUBLE * cos({_W}) + {2 * _G - 1!r}::DOUBLE * cos(2 * {_W}), 2) + pow({2 * _G * _C0!r}::DOUBLE * sin({_W}) - {2 * _G - 1!r}::DOUBLE * sin(2 * {_W}), 2))"""))
+def hum_notch(spark, sf_dir):
+    return whole.notched(vectors(spark, sf_dir), "rec", "embedding", FS).select("rec", "i", (F.round("v", 6) + 0).alias("v"))
+
+
+TAPS = ", ".join(f"({k}, {h!r}::DOUBLE)" for k, h in enumerate(kernels.resampling_filter(1, 2).tolist()))
+
+
+@query(f"""WITH {BLOCKS}, h(k, h) AS (VALUES {TAPS}), o AS (SELECT unnest(range(0, 32)) AS m)
+SELECT rec, m AS i, round(sum(v * h), 6) + 0 AS v FROM o JOIN h ON true JOIN s ON s.i = 2 * m + 20 - k GROUP BY rec, m""")
+def resample_to_8k(spark, sf_dir):
+    return whole.resampled(vectors(spark, sf_dir), "rec", "embedding", 16000).select("rec", "i", (F.round("v", 6) + 0).alias("v"))
+
+
+def block_samples(spark, sf_dir):
+    return vectors(spark, sf_dir).select("rec", F.posexplode("embedding").alias("i", "v")).select("rec", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+
+
+HANN9 = [x / sum(series.hann(9)) for x in series.hann(9)]
+MIXED = f"q AS (SELECT rec, i, v * cos(2 * pi() * 700 / {FS} * i) AS re, v * sin(2 * pi() * 700 / {FS} * i) AS im FROM s)"
+
+
+def hann9(x: str) -> str:
+    """Nine samples of x under a Hann window, zeros beyond the ends."""
+    near = [f"lag({x}, {4 - k}, 0) OVER w" if k < 4 else x if k == 4 else f"lead({x}, {k - 4}, 0) OVER w" for k in range(9)]
+    return " + ".join(f"{c!r}::DOUBLE * {n}" for c, n in zip(HANN9, near, strict=True))
+
+
+@query(f"""WITH {BLOCKS}, {MIXED}, m AS (SELECT rec, i, sqrt(pow({hann9("re")}, 2) + pow({hann9("im")}, 2)) AS mag FROM q WINDOW w AS (PARTITION BY rec ORDER BY i))
+SELECT rec, i, round(mag / (max(mag) OVER (PARTITION BY rec) + 1e-8), 6) AS env FROM m""")
+def coherent_hann_env(spark, sf_dir):
+    return rounded(whole.coherent_hann(block_samples(spark, sf_dir), 700.0, FS, 9), "env").select("rec", "i", "env")
+
+
+@query(f"""WITH {BLOCKS}, q AS (SELECT rec, i, v * cos(2 * pi() * 700 / {FS} * (i % 16)) AS re, v * sin(2 * pi() * 700 / {FS} * (i % 16)) AS im FROM s)
+SELECT rec, i, round(sqrt(pow(sum(re) OVER w, 2) + pow(sum(im) OVER w, 2)), 6) AS mag FROM q WINDOW w AS (PARTITION BY rec ORDER BY i ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)""")
+def ring_magnitude(spark, sf_dir):
+    return rounded(whole.ring_magnitude(block_samples(spark, sf_dir), 700.0, FS, 16), "mag").select("rec", "i", "mag")
+
+
+@query(f"""WITH {BLOCKS}, f AS (SELECT unnest(range(9, 33)) AS b), d AS (SELECT rec, b, pow(sum(v * cos(2 * pi() * b * i / 64)), 2) + pow(sum(v * sin(2 * pi() * b * i / 64)), 2) AS p FROM s, f GROUP BY rec, b),
+n AS (SELECT rec, 10 - CASE WHEN median(p) < 1e-10 THEN 30 ELSE 10 * log10(max(p) / median(p)) END AS need FROM d GROUP BY rec),
+u AS (SELECT rec, CASE WHEN need <= 0 THEN 50 ELSE floor(least(greatest(pow(pow(10, need / 10), 2) / 800 * 1000, 50), 200) / 10) * 10 END AS ms FROM n),
+c AS (SELECT rec, i, sum(v * cos(2 * pi() * 100 / 800 * i)) OVER w AS re, sum(v * sin(2 * pi() * 100 / 800 * i)) OVER w AS im FROM s WINDOW w AS (PARTITION BY rec ORDER BY i ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT c.rec, c.i, ms, sqrt(pow(c.re - coalesce(b.re, 0), 2) + pow(c.im - coalesce(b.im, 0), 2)) / (ms * 0.8) AS mag FROM c JOIN u ON u.rec = c.rec LEFT JOIN c b ON b.rec = c.rec AND b.i = c.i - (ms * 0.8)::INT)
+SELECT rec, i, round(mag / (max(mag) OVER (PARTITION BY rec) + 1e-8), 6) AS env, ms::DOUBLE AS used_ms FROM m""")
+def adaptive_env(spark, sf_dir):
+    return rounded(whole.adaptive_envelope(vectors(spark, sf_dir), "rec", "embedding", 800, 100.0), "env")
+
+
+@query()
+def smooth_carrier(spark, sf_dir):
+    return rounded(whole.smooth_carrier(vectors(spark, sf_dir), "rec", "embedding", FS, 700.0), "freq", "re")
+
+
 # --- gap classes by kernels, recordings, streams --------------------------------------------------------------------------
 
 
@@ -707,6 +878,27 @@ def decode_recordings(spark, sf_dir):
     return rounded(decode.decode(recordings(spark, sf_dir)), "score", "freq", "freq_initial", "snr_db", places=4)
 
 
+NATION_TEXT = "SELECT n_nationkey::VARCHAR AS rec_id, 'CQ DE ' || replace(n_name, '_', ' ') AS text FROM nation"
+
+
+@query(NATION_TEXT)
+def decoded_text(spark, sf_dir):
+    """What decoding reads from keyed audio, before repair: the text that was keyed."""
+    return decode.decode(recordings(spark, sf_dir), correct=False).select("rec_id", F.trim("text").alias("text"))
+
+
+@query(NATION_TEXT)
+def legacy_text(spark, sf_dir):
+    """The same by the older decoder."""
+    return decode.legacy(recordings(spark, sf_dir)).select("rec_id", F.trim("text").alias("text"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS rec_id, (2000 + n_nationkey) || ',' || (2001 + n_nationkey) AS serials FROM nation")
+def contest_serials(spark, sf_dir):
+    """Serials of exchanges heard in windows so close that the last one holds their end."""
+    return contest.transcript(contest_audio(spark, sf_dir), 700.0, 16.0, 7.0).select("rec_id", F.array_join("serials", ",").alias("serials"))
+
+
 @query()
 def decode_hypotheses(spark, sf_dir):
     return rounded(decode.hypotheses(recordings(spark, sf_dir), 700.0), "score", "snr_db", "dit", "dah", "wpm", "duty_cycle", places=4)

@@ -32,22 +32,30 @@ def decode_batch(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("channel").applyInPandas(run, HITS)
 
 
-def decode_stream(chunks: DataFrame, ttl: str | None = None) -> DataFrame:
+def decode_stream(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Hits of a stream of chunks; a channel's state is its ring of three seconds, its tracks and transcripts.
 
-    Chunks of a channel must come in order across micro-batches; within one they are sorted.
+    Chunks of a channel must come in order across micro-batches; within one they are sorted.  With ttl_ms the state of a channel
+    that has sent nothing for so long is dropped, and the channel begins anew when it comes back; without, it stays.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(columns=COLUMNS)
+            return
         got = list(parts)
         held = Channel.load(state.get[0]) if state.exists else None
         held, out = fed(key[0], held, pd.concat(got)) if got else (held, pd.DataFrame(columns=COLUMNS))
         if held is not None:
             state.update((held.dump(),))
+            if ttl_ms:
+                state.setTimeoutDuration(ttl_ms)
         yield out
 
-    return chunks.groupBy("channel").applyInPandasWithState(run, HITS, "state binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("channel").applyInPandasWithState(run, HITS, "state binary", "append", timeout)
 
 
 def chunked(recordings: DataFrame, samples: int) -> DataFrame:
