@@ -1,8 +1,9 @@
 """URL filters: rules by host and path, else gradient-boosted trees on lexical features.
 
 The trees are fitted on URLs that the rules label (a bounded sample of distinct ones by hash) with numpy histograms, shipped
-as a few arrays, and applied to all other URLs in Arrow batches.  Statistics of a host's suffix are made from all urls and
-have no labels in them, as a rule's suffix would give its label away.  The block rate of a path's first segment is taken
+as a few arrays, and applied to all other URLs in Arrow batches.  Statistics of a host's suffix are made from all urls.  A
+suffix with labels of one kind, or none, says only which rule it is under, so its statistics are replaced by the mean, and
+each row is also learnt from with the mean, as the trees judge urls whose suffix no rule covers.  The block rate of a path's first segment is taken
 across hosts: a training row's from other hosts than its own.  Both classes weigh the same, and the cut is chosen on hosts
 that the trees haven't seen.
 """
@@ -184,11 +185,15 @@ def fit_filter(rows: pa.Table, blocked: np.ndarray, statistics: np.ndarray) -> U
     for k in range(FOLDS):
         others = seen & (fold != k)
         rate[fold == k] = segment_rates(segment[others], blocked[others])[segment[fold == k]]
-    x = features(column("url"), column("host"), column("path"), suffix, statistics, rate)
-    y = blocked.astype(float)
-    share = y[seen].mean()
-    trees = fit_boosted(x[seen], y[seen], np.where(blocked[seen], 0.5 / share, 0.5 / (1 - share)))
-    return UrlModel(trees, statistics, segment_rates(segment[seen], blocked[seen]), best_cut(trees.score(x[~seen]), blocked[~seen]))
+    mean = statistics[suffix[seen]].mean(0)
+    both = (np.bincount(suffix[seen], blocked[seen], BUCKETS) > 0) & (np.bincount(suffix[seen], ~blocked[seen], BUCKETS) > 0)
+    statistics = np.where(both[:, None], statistics, mean)
+    forms = [features(column("url"), column("host"), column("path"), suffix, x, rate) for x in (statistics, np.broadcast_to(mean, statistics.shape))]
+    share = blocked[seen].mean()
+    weight = np.where(blocked[seen], 0.25 / share, 0.25 / (1 - share))
+    trees = fit_boosted(np.concatenate([x[seen] for x in forms]), np.tile(blocked[seen].astype(float), 2), np.tile(weight, 2))
+    cut = best_cut(np.concatenate([trees.score(x[~seen]) for x in forms]), np.tile(blocked[~seen], 2))
+    return UrlModel(trees, statistics, segment_rates(segment[seen], blocked[seen]), cut)
 
 
 def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
