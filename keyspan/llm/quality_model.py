@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import hash_sample, hinted
+from .tables import dropped, hash_sample
 from .textscan import mix64, scan_words
 
 #: Word buckets, entries of context vectors, of index vectors pooled by themselves, words to each side.
@@ -136,8 +136,8 @@ def held_out(id_col: str) -> Column:
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, held_out, score, predicted) of every row of docs.
 
-    The sample to learn from are labelled rows below a hash limit, `sample` at most; ids with several labels take the largest.
-    Without labels of both kinds every score is the share of label 1 (0.5 if there is none).  Null and empty texts get
+    The sample to learn from are labelled ids below a hash limit, about `sample` at most, with one text each: ids with several
+    labels take the largest, ids with several texts the one with the smallest hash, so reruns agree.  Without labels of both kinds every score is the share of label 1 (0.5 if there is none).  Null and empty texts get
     the score of an empty text; repeated rows stay.  The texts are read three times and never shuffled.
     """
     context = context_vectors(docs.select(text_col))
@@ -151,9 +151,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
                 yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary()), b.column(2).slice(lo, hi - lo)], names=["id", "x", "y"])
 
     kind = dict(docs.dtypes)[id_col]
-    got = docs.select(id_col, text_col).join(hinted(known), id_col).select(id_col, text_col, "y").mapInArrow(train_rows, f"id {kind}, x binary, y int").toArrow()
-    # repeated rows of an id would make the sample larger than stated
-    got = got.take(sorted({i: n for n, i in enumerate(got["id"].to_pylist())}.values())) if len(got) else got
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.select(F.col(id_col).alias("id"), "y")), "id")
+    one = named.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))  # repeated rows meet before anything is fetched
+    got = one.mapInArrow(train_rows, f"id {kind}, x binary, y int").toArrow()
+    dropped(known)
     got = got.sort_by("id") if len(got) else got
     y = got["y"].to_numpy().astype(float)
     net = None
