@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .native import each_run, folded_words, let
 
 K = 3
-# Phrases that name a license, and openings of license texts and short notices, as lower-case words.
+# Phrases that name a license, and the clauses and short notices that license texts are known by, as lower-case words.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
@@ -33,10 +33,21 @@ TEMPLATES = (
     ("gpl", "licensed under the gnu gpl version 3"),
     ("lgpl", "licensed under the gnu lesser general public license version 3"),
     ("lgpl", "licensed under the gnu lgpl version 3"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
 )
 #: 3-grams that a span must have if its template has them.
 REQUIRED = {
-    "apache-2": ("the apache license",), "mpl-2": ("mozilla public license",),
+    "apache-2": ("the apache license",), "mpl-2": ("mozilla public license",), "epl-2": ("eclipse public license",),
     "cc-by-sa": ("commons attribution sharealike", "attribution share alike"), "cc-by-nc": ("commons attribution noncommercial", "attribution non commercial"),
 }
 #: 3-grams of other licenses that a span must not have; they count from where their first word stands in the template.
@@ -49,6 +60,8 @@ VETOES = {
 }
 #: Least share of a template's 3-grams, widest diagonal step that is merged, longest span against the template.
 COVER, STEP, STRETCH = 0.6, 3, 1.5
+#: Words of all templates at most, as their 3-grams are broadcast (about 100 bytes each).
+TEMPLATE_WORDS = 200_000
 
 
 def template_grams(spark, phrases, templates) -> DataFrame:
@@ -71,13 +84,16 @@ def template_grams(spark, phrases, templates) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
+    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.  Broadcasts `templates`, which must stay
+    below TEMPLATE_WORDS words.
 
     base columns come from phrases alone; labels adds accepted templates; score is the best cover of any label, 0 without one.
     Null and empty texts have no words and no labels.  Rows are told apart by id and text hash: repeated rows stay.
     One pass over the texts: a row without 3-gram for each document, and one for each 3-gram that a template has, are shuffled.
     """
     spark = docs.sparkSession
+    if sum(len(t.split()) for _, t in (*phrases, *templates)) > TEMPLATE_WORDS:
+        raise ValueError(f"templates of more than {TEMPLATE_WORDS} words are too much to broadcast")
     known = F.broadcast(template_grams(spark, phrases, templates))  # as many rows as the given texts have words
     text = lambda w: F.coalesce(each_run(w, K, lambda i: F.array_join(F.slice(w, i, K), " ")), F.array().cast("array<string>"))
     own = let(folded_words(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), F.concat(F.array(F.lit(None).cast("string")), text(w)).alias("grams")))

@@ -96,3 +96,37 @@ def phrases(text, given):
     places = [(i, label) for label, p in given for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     starts = [i for i, _ in places]
     return len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def licenses(text, m):
+    """(labels, score) of a text, from the phrases, templates and limits of a module m."""
+    words = folded(text)
+    grams = [" ".join(words[i : i + m.K]) for i in range(len(words) - m.K + 1)]
+    labels, score = set(), 0.0
+    for phrase, given in ((True, m.PHRASES), (False, m.TEMPLATES)):
+        for label, own in given:
+            own = own.split()
+            known = [" ".join(own[i : i + m.K]) for i in range(len(own) - m.K + 1)]
+            need = {i for i, g in enumerate(known) if not phrase and g in m.REQUIRED.get(label, ())}
+            votes = [(i - j, j, False, i) for i, g in enumerate(grams) for j, k in enumerate(known) if g == k]
+            if not phrase:
+                for veto in m.VETOES.get(label, ()):
+                    pair = veto.split()[:2]
+                    at = next((i for i in range(len(own)) if own[i : i + 2] == pair), own.index(pair[0]) if pair[0] in own else None)
+                    votes += [(i - at, None, True, i) for i, g in enumerate(grams) if g == veto and at is not None]
+            spans, last = [], None
+            for d in sorted({v[0] for v in votes}):
+                if last is None or phrase or d - last > m.STEP:
+                    spans.append([])
+                spans[-1] += [v for v in votes if v[0] == d]
+                last = d
+            for span in spans:
+                places = {v[1] for v in span if not v[2]}
+                cover = len(places) / len(known)
+                starts = [v[3] for v in span]
+                long = max(starts) - min(starts) + m.K > m.STRETCH * (len(known) + m.K - 1)
+                good = cover >= 1 if phrase else need <= places and not any(v[2] for v in span) and cover >= m.COVER and not long
+                if good:
+                    labels.add(label)
+                    score = max(score, cover)
+    return ",".join(sorted(labels)), score

@@ -57,6 +57,24 @@ def test_joins_and_repeats(name, request):
     assert got == brute.without_repeats(rows)
 
 
+def test_license_labels_against_plain_loops(spark, awkward, documents):
+    """labels and score of spans, by diagonals listed one by one."""
+    filler = "lorem ipsum dolor sit amet consectetur"
+    texts = [f"{filler} {t} {filler}" for _, t in license_scan.TEMPLATES]
+    cut = [t.split() for _, t in license_scan.TEMPLATES]
+    texts += [" ".join(w[: int(len(w) * 0.7)]) for w in cut] + [" ".join(w[: int(len(w) * 0.4)]) for w in cut] + [" ".join([*w[:6], "really", *w[6:]]) for w in cut] + [" ".join([*w[:7], *["far"] * 30, *w[7:]]) for w in cut]
+    texts += [" ".join(a + b) for a, b in zip(cut, cut[1:], strict=False)] + [" ".join(w[:5] + w[7:]) for w in cut]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(awkward.selectExpr("doc_id + 1000 as doc_id", "text")).unionByName(documents.selectExpr("doc_id + 10000 as doc_id", "text"))
+    rows = dict(pairs(df))
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(df).collect()}
+    found = set()
+    for i, t in rows.items():
+        labels, score = brute.licenses(t, license_scan)
+        assert got[i][0] == labels and abs(got[i][1] - score) < 1e-9, (i, t, got[i], labels, score)
+        found |= set(labels.split(","))
+    assert found >= {label for label, _ in license_scan.TEMPLATES}
+
+
 def test_hot_prefixes_and_maximal_repeats(spark, awkward):
     """Prefixes over the group size are lengthened to whole windows: the same result."""
     rows = pairs(awkward)
@@ -262,6 +280,58 @@ def test_urls(spark):
     assert all(v[3] in ("allow", "block") for v in got.values())
 
 
+def test_urls_against_sql(spark):
+    """Host, path and rule of every url by SQL."""
+    import duckdb
+
+    rules = ", ".join(f"('{t}', '{v}')" for t, v in url_filter.RULES)
+    sql = f"""WITH r(rule, verdict) AS (VALUES {rules}),
+    p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM read_parquet('/root/testdata/sf0.01/pages.parquet')),
+    h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+    m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY page_id)
+    SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN m USING (page_id)"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert got.keys() == want.keys()
+    for i, (host, path, rule, verdict) in want.items():
+        assert got[i][:3] == (host, path, rule) and (rule is None and got[i][3] in ("allow", "block") or got[i][3] == verdict)
+
+
+def test_url_model_on_unseen_hosts(spark):
+    """Ruled urls of hosts that took no part in the fit get their rule's verdict mostly; unruled verdicts differ."""
+    from zlib import crc32
+
+    import pyarrow as pa
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = url_filter.filter_urls(pages)
+    assert {r.verdict for r in rows.where("rule is null").select("verdict").distinct().collect()} == {"allow", "block"}
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(url_filter.BUCKETS)).cast("int")
+    rows = rows.join(pages.select("page_id", "url"), "page_id").withColumns({"suffix": bucket(F.substring_index("host", ".", -2)), "segment": bucket(F.regexp_extract("path", "^/([^/]*)", 1))})
+    t = rows.where("rule is not null").toArrow()
+    blocked = np.array([v == "block" for v in t["verdict"].to_pylist()])
+    unseen = np.array([crc32(h.encode()) % 3 == 0 for h in t["host"].to_pylist()])
+    model = url_filter.fit_filter(t.filter(pa.array(~unseen)), blocked[~unseen], url_filter.suffix_statistics(rows))
+    rest = t.filter(pa.array(unseen)).combine_chunks()
+    p = model.score(*[rest[c].combine_chunks() for c in ("url", "host", "path")], rest["suffix"].to_numpy(), rest["segment"].to_numpy())
+    right = (p >= model.cut) == blocked[unseen]
+    assert (right[blocked[unseen]].mean() + right[~blocked[unseen]].mean()) / 2 > 0.8
+
+
+def test_url_features_against_plain_counts():
+    import pyarrow as pa
+
+    urls = ["https://a-1.example.com/en/12/x-y.html?p=1&q=22#f", None, "", "x"]
+    hosts, paths = ["a-1.example.com", "", "", ""], ["/en/12/x-y.html", "", "", ""]
+    x = url_filter.features(pa.array(urls), pa.array(hosts), pa.array(paths), np.zeros(4, int), np.array([[0.5, 1, 2]]), np.full(4, 0.25))
+    for row, u, h, p in zip(x, urls, hosts, paths, strict=True):
+        u = u or ""
+        bits = lambda t: -sum(t.count(c) / len(t) * np.log2(t.count(c) / len(t)) for c in set(t)) if t else 0.0
+        share = lambda t: sum(c.isdigit() for c in t) / max(len(t), 1)
+        want = [len(u), len(h), len(p), len(u) - len(h) - len(p), p.count("/"), share(u), share(h), bits(u), bits(h), u.count("=") + u.count("&"), h.count("."), h.count("-"), p.count("-"), p.count("."), u.count("#"), 0.5, 1, 2, 0.25]
+        assert np.allclose(row, want)
+
+
 def test_boosted_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
@@ -329,6 +399,57 @@ def test_quality_model_held_out(spark):
     assert auc > 0.9 and ((s >= 0.5) == y).mean() > 0.9
 
 
+def test_quality_vectors_against_plain_loops(spark, awkward):
+    """Context vectors, pooling and scores, word by word."""
+    import re
+    import zlib
+
+    import pyarrow as pa
+    from keyspan.llm import textscan
+
+    def bucket(word):
+        (w,) = textscan.scan_words(pa.array([word]), lower=True, marks=True)
+        return int(quality_model.buckets(w.hashes())[0])
+
+    def words(text):
+        return re.findall(r"[!-/:-@\[-`{-~]+|[^\x20\x09-\x0D!-/:-@\[-`{-~]+", brute.low(text))
+
+    rows = pairs(awkward)
+    C, own = quality_model.CONTEXT, quality_model.OWN
+    place, sign = quality_model.index_vectors(C, 1)
+    sums = np.zeros((quality_model.BUCKETS, C))
+    known = {}
+    texts = []
+    for _, t in rows:
+        at = [known.setdefault(w, bucket(w)) for w in words(t)]
+        texts.append(at)
+        for i, x in enumerate(at):
+            for j in range(max(0, i - quality_model.REACH), min(len(at), i + quality_model.REACH + 1)):
+                if i != j:
+                    for k in (0, 1):
+                        sums[x, place[at[j], k]] += sign[at[j], k]
+    context = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1)
+    got = quality_model.context_vectors(awkward.select("text"))
+    assert np.allclose(got, context, atol=1e-6)
+    place, sign = quality_model.index_vectors(own, 2)
+    want = np.zeros((len(rows), C + own + 1))
+    for d, at in enumerate(texts):
+        for x in at:
+            want[d, :C] += context[x] / len(at)
+            for k in (0, 1):
+                want[d, C + place[x, k]] += sign[x, k] / len(at)
+        want[d, -1] = np.log1p(len(at))
+    x = np.concatenate([v for _, _, v in quality_model.pooled(pa.array([t for _, t in rows]), got)])
+    assert np.allclose(x, want, atol=1e-5)
+    net = quality_model.Network(np.zeros(3), np.ones(3), np.array([[1.0, -1], [0, 2], [0.5, 0]]), np.array([0.1, -0.2]), np.array([1.0, -2]), 0.3, 2.0)
+    v = np.array([[1.0, 2, 3]])
+    hidden = [max(1 * 1 + 2 * 0 + 3 * 0.5 + 0.1, 0), max(-1 + 4 + 0 - 0.2, 0)]
+    assert np.isclose(net.score(v)[0], 1 / (1 + np.exp(-(hidden[0] - 2 * hidden[1] + 0.3) / 2)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(rows))], "doc_id long, quality int")
+    scored = {r.doc_id: r for r in quality_model.score_quality(awkward, labels).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in scored.items())
+
+
 def test_empty_tables(spark, documents):
     none = documents.limit(0)
     assert quality_rules.judge(none).count() == 0
