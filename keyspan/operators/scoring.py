@@ -69,6 +69,12 @@ def serials(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(r"[15E]NN ?([0-9]{3,4})"), F.lit(1))))
 
 
+def calls(text: Column) -> Column:
+    """Distinct calls as contests have them, but those of E, I and digits alone, which noise makes."""
+    found = F.regexp_extract_all(F.upper(text), F.lit(r"\b(?:[A-Z]{1,2}[0-9]+[A-Z]{1,4}|[A-Z][0-9]{2}[A-Z]{1,4})\b"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda c: ~c.rlike("^[EI]+[0-9]*[EI]*$"))))
+
+
 def speed_weight(wpm: Column) -> Column:
     return F.when((wpm < 3) | (wpm > 140), 0.1).when(wpm < 5, 0.4).when(wpm > 100, 0.55).when(wpm > 85, 0.8).otherwise(1.0)
 

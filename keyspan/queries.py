@@ -426,6 +426,17 @@ def local_peaks(spark, sf_dir):
     return rounded(spectral.local_peaks(vector_spectrum(spark, sf_dir), 1.5), "mag").select("rec", "bin", "mag")
 
 
+@query(f"""WITH {SPECTRUM}, f2 AS (SELECT label AS rec, sp.rec AS frame, bin, freq, mag FROM spec sp JOIN embeddings e ON e.vec_id = sp.rec),
+n AS (SELECT *, lag(mag) OVER w AS l, lead(mag) OVER w AS r, quantile_cont(mag, 0.5) OVER (PARTITION BY rec, frame) AS mid FROM f2 WINDOW w AS (PARTITION BY rec, frame ORDER BY bin)),
+t AS (SELECT rec, count(DISTINCT frame) AS frames FROM f2 GROUP BY rec), p AS (SELECT rec, bin, freq, count(*) AS hits, avg(mag) AS mean FROM n WHERE mag >= l AND mag >= r AND mag > 1.5 * mid GROUP BY rec, bin, freq),
+q AS (SELECT rec, bin, freq, hits / frames AS presence, mean / (max(mean) OVER (PARTITION BY rec) + 1e-12) AS energy FROM p JOIN t USING (rec))
+SELECT rec, bin, freq, round(presence, 6) AS presence, round(energy * (0.4 + 0.6 * presence) * least(greatest(1 - abs(presence - 0.35), 0.05), 1), 6) AS score FROM q""")
+def stft_tracks(spark, sf_dir):
+    """Vectors of one label as the frames of a recording: how often and how strongly a bin peaks."""
+    frames = vector_spectrum(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), F.col("rec") == F.col("vec_id"))
+    return rounded(spectral.scored_tracks(frames.select(F.col("label").alias("rec"), F.col("vec_id").alias("frame"), "bin", "freq", "mag"), 1.5), "presence", "score")
+
+
 @query(f"""WITH {VECTORS}, h AS (SELECT rec, i, v * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 63)) AS v FROM s), g AS (SELECT unnest(range(0, 49)) AS k),
 p AS (SELECT rec, 750 - 12.0::DOUBLE + k * 0.5::DOUBLE AS freq, round(pow(sum(v * cos((750 - 12.0::DOUBLE + k * 0.5::DOUBLE) * (2 * pi() / 8000) * i)), 2) + pow(sum(v * sin((750 - 12.0::DOUBLE + k * 0.5::DOUBLE) * (2 * pi() / 8000) * i)), 2), 6) AS power FROM h, g GROUP BY rec, k)
 SELECT rec, arg_max(freq, (power, -freq)) AS freq, max(power) AS power FROM p GROUP BY rec""")
@@ -497,6 +508,13 @@ def contest_exchanges(spark, sf_dir):
     return x.select("c_custkey", scoring.contest_like(F.col("text")).alias("contest"), F.array_join(scoring.serials(F.col("text")), ",").alias("serials"))
 
 
+@query(f"""WITH x AS (SELECT c_custkey, regexp_extract_all({EXCHANGE} || ' DE E5E ' || c_mktsegment[1:1] || c_custkey % 10 || 'K', '\\b(?:[A-Z]{{1,2}}[0-9]+[A-Z]{{1,4}}|[A-Z][0-9]{{2}}[A-Z]{{1,4}})\\b') AS c FROM customer)
+SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter(c, lambda k: NOT regexp_matches(k, '^[EI]+[0-9]*[EI]*$')))), ',') AS calls FROM x""")
+def contest_calls(spark, sf_dir):
+    own = F.concat("text", F.lit(" DE E5E "), F.substring("text", 1, 1), (F.col("c_custkey") % 10).cast("string"), F.lit("K"))
+    return exchanges(spark, sf_dir).select("c_custkey", F.array_join(scoring.calls(own), ",").alias("calls"))
+
+
 def hypotheses(spark, sf_dir):
     """Events as hypotheses: a text, a score and a speed for each user."""
     e = table(spark, sf_dir, "events")
