@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Filter, components, dropped, hot_keys, rows_of, spread_join, written
+from .tables import Filter, components, dropped, hot_keys, rows_of, spread_join, tidied, written
 from .textscan import Words, grams, mix64, scan_words, signed, slices
 
 K = 5
@@ -392,6 +392,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     frequent = frequent_tokens(docs, renamed)
     tokens = written(prefix_tokens(docs, renamed, frequent), "tokens")
     frequent.destroy()
+    tidied(docs.sparkSession)
     shared = Filter.over(tokens.groupBy("token").count().where("count > 1"), "token")
 
     def passing(batches):
@@ -407,6 +408,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     first = written(members.where("s1 <> low").select(F.col("s1").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
     pairs, hot = plausible(first, nodes)
     links = verified(docs, pairs, hot, nodes, renamed)
+    tidied(docs.sparkSession)
     groups, tried = written(components(links), "groups"), [pairs]
     dropped(first, links)
     for every in (False, True):  # the likeliest pairs join nearly all; then whatever pair is left between components
@@ -414,6 +416,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         for t in tried:
             more = more.join(t, ["a", "b"], "left_anti")
         more = written(more, "pairs")
+        tidied(docs.sparkSession)
         if rows_of(more):
             pairs, hot = plausible(more, nodes)
             tried.append(pairs)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Filter, dropped, hot_keys, rows_of, spread_join, written
+from .tables import Filter, dropped, hot_keys, spread_join, tidied, written
 from .textscan import grams, mix64, scan_words, signed, slices, sliding_min
 
 #: Words of a window (depth of a reported node), and of the prefix that suffixes are split by.
@@ -221,6 +221,7 @@ def repeats(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX, group: in
     dropped(texts, first, again, counts, *([rows, nodes] if rows is not None else []))
     for f in (origin, shared, hot):
         f.destroy()
+    tidied(docs.sparkSession)
     return out
 
 
