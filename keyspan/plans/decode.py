@@ -20,8 +20,8 @@ _KINDS = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[c.s
 OFFSETS = (1.5, 3.0, 4.5, 6.0, 9.0, 12.0, 15.0, 18.0)
 #: Seconds from which a recording is decoded in windows, their length and overlap; seconds from which tones are looked for at three places.
 LONG, WINDOW, OVERLAP, PLACES_FROM = 120.0, 60.0, 15.0, 60.0
-#: Further tones tried around weak candidates, at most.
-EXTRA = 24
+#: Further tones tried around weak candidates, at most, and the share of the first one's score below which a candidate is noise.
+EXTRA, FAINT = 24, 0.01
 
 
 def found_tones(sig: np.ndarray, clean: np.ndarray, fs: int) -> list[dict]:
@@ -59,8 +59,9 @@ def recording_hypotheses(sig: np.ndarray, fs: float, force_freq: float | None =
         return out
     bad = decoding.dominant(best["text"]) > 0.35 or garble(best["text"]) > 0.20 or best["score"] < 0.45 or decoding.plausibility(best["text"]) < 0.55
     if grid and (bad or best["score"] < 0.85):
-        centres = [c["freq"] for c in cands[: 6 if bad else 3]]
-        wanted = [c["freq"] for c in cands[tones:10]] + [f + d for step in OFFSETS for d in (-step, step) for f in centres]
+        heard = [c for c in cands if c["score"] >= FAINT * cands[0]["score"]]
+        centres = [c["freq"] for c in heard[: 6 if bad else 3]]
+        wanted = [c["freq"] for c in heard[tones:10]] + [f + d for step in OFFSETS for d in (-step, step) for f in centres]
         seen, tried = {round(h["freq"], 1) for h in out}, 0
         for f in wanted:
             if round(f, 1) in seen or tried == EXTRA:
