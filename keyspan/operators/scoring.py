@@ -19,7 +19,7 @@ def letters(text: Column) -> Column:
 
 def dominant_letter(text: Column) -> Column:
     """Share of the commonest letter; 0 for less than 8 letters."""
-    top = lambda t: F.greatest(*[F.length(t) - F.length(F.translate(t, c, "")) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+    top = lambda t: F.greatest(*[F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
     return let(letters(text), lambda t: F.when(F.length(t) >= 8, top(t) / F.length(t)).otherwise(0.0))
 
 
@@ -35,7 +35,7 @@ def plausibility(text: Column) -> Column:
 
     def raised(found):
         raise_by = lambda wordy, n: F.when((wordy >= 3) & (2 * wordy >= n), 1 + 0.025 * F.least(wordy, F.lit(6))).otherwise(1.0)
-        wordy = F.size(F.filter(found, lambda x: (F.length(x) <= 12) & (F.translate(x, "0123456789", "") == x)))
+        wordy = F.size(F.filter(found, lambda x: x.rlike("^[A-Z]{2,12}$")))
         known = F.size(F.filter(found, lambda x: x.isin(*PLAUSIBLE)))
         return let(wordy, lambda w: raise_by(w, F.size(found))) * (1 + 0.02 * F.least(known, F.lit(5)))
 
