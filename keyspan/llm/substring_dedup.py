@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Filter, dropped, hot_keys, spread_join, tidied, written
+from .tables import HOT, Filter, dropped, hot_keys, rows_of, spread_join, tidied, written
 from .textscan import grams, mix64, scan_words, signed, slices, sliding_min
 
 #: Words of a window (depth of a reported node), and of the prefix that suffixes are split by.
@@ -193,6 +193,44 @@ def hot_windows(docs: DataFrame, origin, hot, depth: int, prefix: int) -> DataFr
     return docs.where("doc is not null").mapInArrow(scan, "w1 long, w2 long, doc long, at long")
 
 
+def node_runs(rows: DataFrame, nodes: DataFrame, least: int = 128) -> DataFrame:
+    """(doc, th, start, windows) of the windows (w1, w2, doc, at) whose node (w1, w2, low, n) has a smaller document.
+
+    Nodes with more than a HOT-th of all windows are fewer than HOT: they are broadcast, and their windows, which are most,
+    are never shuffled, and leave as runs.  Windows of all other nodes meet them in a join, a row each.
+    """
+    most = max(least, rows_of(rows) // HOT)
+    hot = nodes.where(F.col("n") > most).select("w1", "w2", "low").toArrow().sort_by("w1")
+    keys = [hot[c].to_numpy() for c in ("w1", "w2", "low")]
+    if len(np.unique(keys[0])) < len(hot):  # two hot windows with one hash: all through the join
+        keys, most = [k[:0] for k in keys], 1 << 62
+    known = rows.sparkSession.sparkContext.broadcast(keys)
+
+    def place(b):
+        w1, w2, low = known.value
+        if not len(w1):
+            return np.zeros(b.num_rows, bool), np.zeros(b.num_rows, np.int64)
+        at = np.minimum(np.searchsorted(w1, b.column(0).to_numpy()), len(w1) - 1)
+        return (w1[at] == b.column(0).to_numpy()) & (w2[at] == b.column(1).to_numpy()), low[at]
+
+    def runs(batches):
+        for b in batches:
+            found, low = place(b)
+            doc, at = b.column(2).to_numpy(), b.column(3).to_numpy()
+            keep = found & (doc > low)
+            doc, at = doc[keep], at[keep]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]) if len(doc) else np.zeros(0, int)
+            yield pa.record_batch({"doc": doc[first], "th": at[first] >> 32, "start": (at[first] & 0xFFFFFFFF).astype(np.int32), "windows": np.diff(np.r_[first, len(doc)]).astype(np.int32)})
+
+    def others(batches):
+        for b in batches:
+            yield b.filter(pa.array(~place(b)[0]))
+
+    under = rows.mapInArrow(others, "w1 long, w2 long, doc long, at long").join(nodes.where(F.col("n") <= most).drop("n"), ["w1", "w2"]).where("doc > low")
+    under = under.select("doc", F.shiftright("at", 32).alias("th"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), F.lit(1).alias("windows"))
+    return rows.mapInArrow(runs, "doc long, th long, start int, windows int").unionByName(under)
+
+
 def repeats(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
     """(doc, th, runs, whole), written: runs (start, windows) of a row's windows that also start in a document with a smaller id; whole if its whole text does.
 
@@ -211,9 +249,8 @@ def repeats(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX, group: in
     rows = None
     if large.take(1):
         rows = written(hot_windows(docs, origin, hot, depth, prefix), "windows")
-        nodes = written(rows.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"), "nodes")
-        under = spread_join(rows, nodes, ["w1", "w2"], hot_keys(rows, ["w1", "w2"])).where("doc > low")
-        later = later.unionByName(under.select("doc", F.shiftright("at", 32).alias("th"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), F.lit(1).alias("windows")))
+        nodes = written(rows.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high").drop("high"), "nodes")
+        later = later.unionByName(node_runs(rows, nodes))
     runs = later.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "windows"))).alias("runs"))
     runs = runs.join(again, ["doc", "th"], "left_anti").withColumn("whole", F.lit(False))
     none = F.array().cast("array<struct<start:int,windows:int>>")

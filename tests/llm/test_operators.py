@@ -83,6 +83,9 @@ def test_hot_prefixes_and_maximal_repeats(spark, awkward):
     texts = [" ".join(f"{a}{i}" for i in range(60)) for a in "pqr"]
     x, y, z = (t.split() for t in texts)
     many = [(i, " ".join([f"s{i}", *x[5:45], f"t{i}", *(y[10:40] if i % 2 else z[:12])])) for i in range(40)]
+    more = many + [(1000 + i, " ".join([f"u{i}", *y[20:50], f"v{i % 70}"])) for i in range(200)]
+    many_rows = spark.createDataFrame(more, "doc_id long, text string")
+    assert {r.doc: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.without_repeats(many_rows, digest=True, group=4).collect()} == brute.without_repeats(more)  # nodes beyond and within the hot limit
     df = spark.createDataFrame(many, "doc_id long, text string")
     want = brute.without_repeats(many)
     for group in (4, 1 << 14):
