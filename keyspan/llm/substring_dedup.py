@@ -9,7 +9,8 @@ windows are always under equal prefixes, and consecutive windows mostly under th
   which are the tree's nodes.  Internal nodes of depth 13 are the repeats; the tree isn't grown further, as longer repeats
   are runs of such nodes, which are merged to maximal ones in each document.
 * A prefix with more windows is lengthened to the whole 13 words.  Suffixes under such a prefix share all that matters, so no
-  tree is left to build: its smallest document is a minimum that is combined before the shuffle, and no task gathers it.
+  tree is left to build: its smallest document is a minimum that each task combines over the windows it reads, and no task
+  gathers it.  A second look at the texts finds the windows that start in a smaller document, and gives them as runs.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import HOT, Filter, dropped, hot_keys, rows_of, spread_join, tidied, written
+from .tables import HOT, Filter, dropped, hot_keys, spread_join, tidied, written
 from .textscan import grams, mix64, scan_words, signed, slices, sliding_min
 
 #: Words of a window (depth of a reported node), and of the prefix that suffixes are split by.
 DEPTH, PREFIX = 13, 5
 #: Windows of a group whose tree is built in memory, and windows (of whole groups) handled at once.
 GROUP, CHUNK = 1 << 14, 1 << 16
+#: Windows under hot prefixes that a task holds before it combines equal ones.
+HELD = 1 << 18
 #: Bytes of words in an Arrow batch of segments.
 SEGMENT_BYTES = 1 << 24
 _OTHER_SEED = 0x8CB92BA72F3D8DD7
@@ -177,58 +180,96 @@ def tree_runs(rows: DataFrame, depth: int) -> DataFrame:
     return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(build, "doc long, th long, start int, windows int")
 
 
-def hot_windows(docs: DataFrame, origin, hot, depth: int, prefix: int) -> DataFrame:
-    """(w1, w2, doc, at) of every window under a hot prefix, which is lengthened to the window itself."""
+def hot_windows(batch, origin, hot, depth: int, prefix: int):
+    """(w1, w2, doc, at), in the order of the texts, of a batch's windows under a hot prefix, which is lengthened to the window itself."""
+    ids, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    for w in scan_words(batch.column(2), lower=False):
+        h = w.hashes()
+        at, low = sampled(h, w.left(), depth, prefix)
+        at = at[origin.value.has(ids[w.lo : w.hi])[w.doc[at]] & hot.value.has(signed(low))]
+        if len(at):
+            doc = w.doc[at]
+            yield signed(grams(h, depth, at=at)), signed(grams(h, depth, _OTHER_SEED, at)), ids[w.lo + doc], (th[w.lo + doc] << 32) | (at - w.first[doc])
+
+
+def hot_nodes(docs: DataFrame, origin, hot, depth: int, prefix: int) -> DataFrame:
+    """(w1, w2, low, n) of the windows under hot prefixes that two documents or more have: the smallest of them and the number of windows.
+
+    A task gives a row for each different window it meets, not for each window: it combines them whenever it holds HELD.
+    """
+
+    def combined(held: list) -> tuple:
+        w1, w2, low, high, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((w2, w1))
+        w1, w2 = w1[order], w2[order]
+        first = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+        return w1[first], w2[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(n[order], first)
 
     def scan(batches):
+        held: list = []
+        size = 0
         for b in batches:
-            ids, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for w in scan_words(b.column(2), lower=False):
-                h = w.hashes()
-                at, low = sampled(h, w.left(), depth, prefix)
-                at = at[origin.value.has(ids[w.lo : w.hi])[w.doc[at]] & hot.value.has(signed(low))]
-                doc = w.doc[at]
-                yield pa.record_batch({"w1": signed(grams(h, depth)[at]), "w2": signed(grams(h, depth, _OTHER_SEED)[at]), "doc": ids[w.lo + doc], "at": (th[w.lo + doc] << 32) | (at - w.first[doc])})
+            for w1, w2, doc, _ in hot_windows(b, origin, hot, depth, prefix):
+                held.append((w1, w2, doc, doc, np.ones(len(doc), np.int64)))
+                size += len(doc)
+                if size >= HELD:
+                    held = [combined(held)]
+                    size = len(held[0][0])
+                    if size >= HELD // 2:  # mostly different ones: the shuffle's turn
+                        yield pa.record_batch(list(held[0]), names=["w1", "w2", "low", "high", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.record_batch(list(combined(held)), names=["w1", "w2", "low", "high", "n"])
 
-    return docs.where("doc is not null").mapInArrow(scan, "w1 long, w2 long, doc long, at long")
+    rows = docs.where("doc is not null").mapInArrow(scan, "w1 long, w2 long, low long, high long, n long")
+    return rows.groupBy("w1", "w2").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high").drop("high")
 
 
-def node_runs(rows: DataFrame, nodes: DataFrame, least: int = 128) -> DataFrame:
-    """(doc, th, start, windows) of the windows (w1, w2, doc, at) whose node (w1, w2, low, n) has a smaller document.
+def hot_runs(docs: DataFrame, origin, hot, nodes: DataFrame, depth: int, prefix: int, least: int = 128) -> tuple[DataFrame, DataFrame]:
+    """(doc, th, start, windows) of the windows under hot prefixes whose node (w1, w2, low, n) has a smaller document, and the written table it reads.
 
     Nodes with more than a HOT-th of all windows are fewer than HOT: they are broadcast, and their windows, which are most,
-    are never shuffled, and leave as runs.  Windows of all other nodes meet them in a join, a row each.
+    leave the scan as runs.  Windows of all other nodes meet them in a join, a row each; windows without a node stay.
     """
-    most = max(least, rows_of(rows) // HOT)
-    hot = nodes.where(F.col("n") > most).select("w1", "w2", "low").toArrow().sort_by("w1")
-    keys = [hot[c].to_numpy() for c in ("w1", "w2", "low")]
-    if len(np.unique(keys[0])) < len(hot):  # two hot windows with one hash: all through the join
+    most = max(least, (nodes.agg(F.sum("n")).first()[0] or 0) // HOT)
+    top = nodes.where(F.col("n") > most).select("w1", "w2", "low").toArrow().sort_by("w1")
+    keys = [top[c].to_numpy() for c in ("w1", "w2", "low")]
+    if len(np.unique(keys[0])) < len(top):  # two hot windows with one hash: all through the join
         keys, most = [k[:0] for k in keys], 1 << 62
-    known = rows.sparkSession.sparkContext.broadcast(keys)
+    known = docs.sparkSession.sparkContext.broadcast(keys)
+    rest = nodes.where(F.col("n") <= most).drop("n")
+    met = Filter.over(rest, "w1")
 
-    def place(b):
+    def place(a, b):
         w1, w2, low = known.value
         if not len(w1):
-            return np.zeros(b.num_rows, bool), np.zeros(b.num_rows, np.int64)
-        at = np.minimum(np.searchsorted(w1, b.column(0).to_numpy()), len(w1) - 1)
-        return (w1[at] == b.column(0).to_numpy()) & (w2[at] == b.column(1).to_numpy()), low[at]
+            return np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+        at = np.minimum(np.searchsorted(w1, a), len(w1) - 1)
+        return (w1[at] == a) & (w2[at] == b), low[at]
 
-    def runs(batches):
-        for b in batches:
-            found, low = place(b)
-            doc, at = b.column(2).to_numpy(), b.column(3).to_numpy()
-            keep = found & (doc > low)
-            doc, at = doc[keep], at[keep]
-            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]) if len(doc) else np.zeros(0, int)
-            yield pa.record_batch({"doc": doc[first], "th": at[first] >> 32, "start": (at[first] & 0xFFFFFFFF).astype(np.int32), "windows": np.diff(np.r_[first, len(doc)]).astype(np.int32)})
-
-    def others(batches):
+    def scan(batches):
         for b in batches:
-            yield b.filter(pa.array(~place(b)[0]))
-
-    under = rows.mapInArrow(others, "w1 long, w2 long, doc long, at long").join(nodes.where(F.col("n") <= most).drop("n"), ["w1", "w2"]).where("doc > low")
-    under = under.select("doc", F.shiftright("at", 32).alias("th"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), F.lit(1).alias("windows"))
-    return rows.mapInArrow(runs, "doc long, th long, start int, windows int").unionByName(under)
+            for w1, w2, doc, at in hot_windows(b, origin, hot, depth, prefix):
+                found, low = place(w1, w2)
+                other = np.flatnonzero(~found & met.value.has(w1))
+                keep = np.flatnonzero(found & (doc > low))
+                d, p = doc[keep], at[keep]
+                first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)]) if len(d) else keep
+                none = np.zeros(len(first), np.int64)
+                yield pa.record_batch([
+                    pa.array(np.r_[none, w1[other]], mask=np.r_[none == 0, other < 0]),
+                    pa.array(np.r_[none, w2[other]]),
+                    pa.array(np.r_[d[first], doc[other]]),
+                    pa.array(np.r_[p[first], at[other]]),
+                    pa.array(np.r_[np.diff(np.r_[first, len(d)]), np.ones(len(other), int)].astype(np.int32)),
+                ], names=["w1", "w2", "doc", "at", "windows"])
+
+    rows = written(docs.where("doc is not null").mapInArrow(scan, "w1 long, w2 long, doc long, at long, windows int"), "windows")
+    known.destroy()
+    met.destroy()
+    run = [F.col("doc"), F.shiftright("at", 32).alias("th"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start"), F.col("windows")]
+    under = rows.where("w1 is not null").join(rest, ["w1", "w2"]).where("doc > low")
+    return rows.where("w1 is null").select(*run).unionByName(under.select(*run)), rows
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
@@ -248,9 +289,9 @@ def repeats(docs: DataFrame, depth: int = DEPTH, prefix: int = PREFIX, group: in
     later = tree_runs(segments(docs, origin, shared, hot, depth, prefix), depth)
     rows = None
     if large.take(1):
-        rows = written(hot_windows(docs, origin, hot, depth, prefix), "windows")
-        nodes = written(rows.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).where("low < high").drop("high"), "nodes")
-        later = later.unionByName(node_runs(rows, nodes))
+        nodes = written(hot_nodes(docs, origin, hot, depth, prefix), "nodes")
+        runs, rows = hot_runs(docs, origin, hot, nodes, depth, prefix)
+        later = later.unionByName(runs)
     runs = later.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("start", "windows"))).alias("runs"))
     runs = runs.join(again, ["doc", "th"], "left_anti").withColumn("whole", F.lit(False))
     none = F.array().cast("array<struct<start:int,windows:int>>")

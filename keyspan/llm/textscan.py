@@ -128,14 +128,14 @@ def scan_words(column: pa.Array, lower: bool, marks: bool = False) -> Iterator[W
         lo = hi
 
 
-def grams(hashes: np.ndarray, k: int, seed: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
-    """Hashes of k consecutive words from each word on (shorter by k-1; borders of texts aren't looked at)."""
-    n = len(hashes) - k + 1
+def grams(hashes: np.ndarray, k: int, seed: int = 0xC2B2AE3D27D4EB4F, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of k consecutive words from each word on, or from those at `at` (shorter by k-1; borders of texts aren't looked at)."""
+    n = len(hashes) - k + 1 if at is None else len(at)
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, k, np.uint64)
     for j in range(k):
-        out = out * np.uint64(seed) + hashes[j : j + n]
+        out = out * np.uint64(seed) + (hashes[j : j + n] if at is None else hashes[at + j])
     return mix64(out)
 
 

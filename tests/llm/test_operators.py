@@ -94,6 +94,34 @@ def test_hot_prefixes_and_maximal_repeats(spark, awkward):
     assert spans == sorted([(i, 1, 40) for i in range(1, 40)] + [(i, 42, 30) for i in range(3, 40, 2)])
 
 
+def test_hot_windows_leave_combined(spark, monkeypatch):
+    """A group of near copies leaves the scans as different windows a task and as runs, not as a row for each window."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([f"s{i}", *words[:60], f"t{i}", *words[60:]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    made = {}
+
+    def counted(self, func, schema, *more, f=type(df).mapInArrow):
+        n = made.setdefault(schema, spark.sparkContext.accumulator(0))
+
+        def scan(batches):
+            for b in func(batches):
+                n.add(b.num_rows)
+                yield b
+
+        return f(self, scan, schema, *more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    want = brute.without_repeats(rows)
+    windows = 400 * (48 + 28)
+    for held in (100, 1 << 18):
+        monkeypatch.setattr(substring_dedup, "HELD", held)
+        made.clear()
+        assert {r.doc: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.without_repeats(df, digest=True, group=4).collect()} == want
+        hot = {k: n.value for k, n in made.items() if "w1 long" in k}
+        assert hot and (held == 100 or max(hot.values()) < windows / 5), hot
+
+
 def test_unequal_sets_with_one_id(spark, awkward, monkeypatch):
     """Sets that meet in the first id are told apart by the second."""
     short = lambda d, v, n, f=shingle_join.set_ids: (lambda size, a, b: (size, a % np.uint64(3), b))(*f(d, v, n))
