@@ -168,11 +168,32 @@ class Filter:
         return df.sparkSession.sparkContext.broadcast(cls(words))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node in edges (a, b): component is the smallest node reachable.
-
-    Alternating large-star and small-star steps; each is a min per node (combined before the
-    shuffle) joined back, so no neighbourhood is gathered, and each round is written out.
+def joined_edges(batches):
+    """Batches (a, b) as one of (node, component): every node takes the smallest label of its edges' ends, again and again."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not got:
+        return
+    a, b = (np.concatenate(c) for c in zip(*got, strict=True))
+    nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before, label = label, label.copy()
+        low = np.minimum(before[x], before[y])
+        np.minimum.at(label, before[x], low)
+        np.minimum.at(label, before[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.record_batch({"node": nodes, "component": nodes[label]})
+
+
+def components(edges: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
+    """(node, component) of every node in edges (a, b) of longs: component is the smallest node reachable.
+
+    Edges that a count shows to be `few` or less are joined in one task: a round over them would make thousands of tasks
+    where there are many partitions, and what the driver holds grows with tasks.  More of them take alternating large-star
+    and small-star steps; each is a min per node (combined before the shuffle) joined back, so no neighbourhood is
+    gathered, and each round is written out, until all edges lead to a smallest node.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -186,15 +207,16 @@ def components(edges: DataFrame) -> DataFrame:
         kept = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return kept.where("a > b").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def over(e: DataFrame) -> bool:
+        """Whether every a stands once and is no b, so that a round would change nothing."""
+        ends = e.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select("b", F.lit(0), F.lit(1)).toDF("u", "up", "down"))
+        most = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.max(F.col("up") + F.least("up", "down")))
+        return (most.first()[0] or 0) <= 1
 
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    before = mark(e)
-    while before[0]:
-        e = written(star(star(e, True), False), "edges")
-        now = mark(e)
-        if now == before:
-            break
-        before = now
+    if rows_of(e) <= few:
+        return e.coalesce(1).mapInArrow(joined_edges, "node long, component long")
+    while not over(e):
+        last, e = e, written(star(star(e, True), False), "edges")
+        dropped(last)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

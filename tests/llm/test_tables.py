@@ -68,6 +68,29 @@ def test_components(spark):
     assert tables.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    edges = tables.written(spark.range(300).selectExpr("id as a", "id + 1 as b"), "chain")
+    spark.sparkContext.setJobGroup("few", "")
+    got = tables.components(edges).collect()
+    spark.sparkContext.setJobGroup("many", "")
+    rounds = tables.components(edges, few=0).collect()
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(got) == sorted(rounds) == [(i, 0) for i in range(301)]
+    told = spark.sparkContext.statusTracker()
+    stages = {k: sum(len(told.getJobInfo(j).stageIds) for j in told.getJobIdsForGroup(k)) for k in ("few", "many")}
+    assert stages["few"] <= 10 < stages["many"]
+
+
+def test_components_by_rounds_and_at_once(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-(2**62), 2**62, (50, 2))] + [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(2000, 2000 + i) for i in range(1, 150)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(tables.components(df).collect()) == sorted(tables.components(df, few=0).collect())
+    stars = spark.createDataFrame([(i % 7, 10 + i) for i in range(90)], "a long, b long")
+    assert sorted(tables.components(stars, few=0).collect()) == sorted([(i, i) for i in range(7)] + [(10 + i, i % 7) for i in range(90)])
+    assert tables.components(spark.createDataFrame([], "a long, b long"), few=-1).count() == 0
+
+
 def test_scan_matches_plain_splitting():
     rng = np.random.default_rng(4)
     alphabet = list("abAZé\x0b\x0c\t\n\r  \x1c\x85日")
