@@ -37,20 +37,20 @@ _SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 
 def chunk_sets(w: Words, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """(text number in the chunk, shingle hash), distinct and sorted by both."""
-    h, counts, doc = w.hashes(), w.counts, w.doc
+    h, counts = w.hashes(), w.counts
     g = grams(h, k)
-    at = np.flatnonzero(w.left()[: len(g)] >= k)
-    docs, values = [doc[at]], [g[at]]
+    held = np.where(counts < k, counts > 0, counts - k + 1)
+    docs, end = np.repeat(np.arange(len(counts)), held), np.cumsum(held)
+    values = np.empty(len(docs), np.uint64)
+    values[(counts >= k)[docs]] = g[w.left()[: len(g)] >= k]
     for m in range(1, k):  # fewer words: the whole sequence is the only shingle
         d = np.flatnonzero(counts == m)
         v = np.full(len(d), m, np.uint64)
         for j in range(m):
             v = v * _SEED + h[w.first[d] + j]
-        docs.append(d)
-        values.append(mix64(v))
-    docs, values = np.concatenate(docs), np.concatenate(values)
-    order = np.lexsort((values, docs))
-    docs, values = docs[order], values[order]
+        values[end[d] - 1] = mix64(v)
+    for d in np.flatnonzero(held > 1):  # text by text in place: far quicker than one sort by two keys
+        values[end[d] - held[d] : end[d]].sort()
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (values[1:] != values[:-1])
     return docs[new], values[new]
@@ -81,6 +81,23 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size - -(-size * NUM // DEN) + 1
 
 
+def is_in(values: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Whether each value is one of a sorted array."""
+    if known is None or not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def prefix_places(size: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The place of each value in its set, of sets of `size` values one after another, where late ones come after all others in unchanged order."""
+    end = np.cumsum(size)
+    before = np.r_[0, np.cumsum(late)]
+    lates = np.repeat(before[end] - before[end - size], size)
+    own = before[:-1] - np.repeat(before[end - size], size)
+    place = np.arange(len(late)) - np.repeat(end - size, size)
+    return np.where(late, np.repeat(size, size) - lates + own, place - own)
+
+
 def signatures(docs: np.ndarray, values: np.ndarray, n: int) -> list[bytes]:
     """Bitmaps with a bit for each shingle's hash; a longer one folds to a shorter by OR of its parts."""
     size = np.bincount(docs, minlength=n)
@@ -248,12 +265,7 @@ def prefix_tokens(docs: DataFrame, renamed: dict, frequent=None) -> DataFrame:
                 size, s1 = node_ids(d, v, n, renamed)
                 first_row = np.zeros(n, bool)
                 first_row[np.unique(s1, return_index=True)[1]] = True
-                if frequent is not None and len(known := frequent.value):
-                    at = np.searchsorted(known, v)
-                    order = np.lexsort((known[np.minimum(at, len(known) - 1)] == v, d))
-                    v = v[order]
-                start = np.r_[0, np.cumsum(size)[:-1]]
-                keep = (np.arange(len(v)) - start[d] < prefix_length(size)[d]) & first_row[d]
+                keep = (prefix_places(size, is_in(v, frequent.value if frequent else None)) < prefix_length(size)[d]) & first_row[d]
                 yield pa.record_batch({"token": signed(v[keep]), "s1": signed(s1[d[keep]])})
 
     return docs.mapInArrow(scan, "token long, s1 long")
@@ -276,14 +288,21 @@ def frequent_tokens(docs: DataFrame, renamed: dict):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, hot: DataFrame | None, nodes: DataFrame, renamed: dict) -> DataFrame:
-    """The pairs (a, b) of set ids that link, written: both sets are made again from the node's document and intersected."""
+    """The pairs (a, b) of set ids that link, written: both sets are made again from the node's document and intersected.
+
+    Sets are made in one pass and only of texts whose document is one of those; they are written as they come, and only
+    if a count shows that one stands twice (rows that repeat id and text) brought down to one.
+    """
     ids = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct().join(nodes.select("s1", "doc"), "s1")
-    wanted = Filter.over(ids.select(F.coalesce("doc", F.lit(0)).bitwiseXOR(F.col("s1")).alias("k")), "k")
+    doc = F.coalesce("doc", F.lit(0))
+    wanted = Filter.over(ids.select(F.explode(F.array(doc, doc.bitwiseXOR(F.col("s1")))).alias("k")), "k")
 
     def scan(batches):
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for w in scan_words(b.column(1), lower=True):
+            likely = wanted.value.has(ids)
+            ids, texts = ids[likely], b.column(1).filter(pa.array(likely))
+            for w in scan_words(texts, lower=True):
                 n = w.hi - w.lo
                 d, v = chunk_sets(w)
                 size, s1 = node_ids(d, v, n, renamed)
@@ -303,11 +322,13 @@ def verified(docs: DataFrame, pairs: DataFrame, hot: DataFrame | None, nodes: Da
                 hit.append(DEN * common >= NUM * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    sets = docs.mapInArrow(scan, "s1 long, tokens binary").dropDuplicates(["s1"])
+    made = written(docs.select("doc", "text").mapInArrow(scan, "s1 long, tokens binary"), "made")
+    wanted.destroy()
+    sets = made.dropDuplicates(["s1"]) if made.select("s1").distinct().count() < rows_of(made) else made
     one = pairs.join(sets.toDF("a", "x"), "a")
     two = spread_join(one, sets.toDF("b", "y"), ["b"], hot).select("a", "b", "x", "y")
     out = written(two.mapInArrow(compare, "a long, b long"), "links")
-    wanted.destroy()
+    dropped(made)
     return out
 
 

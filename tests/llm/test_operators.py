@@ -1,10 +1,13 @@
 """Operators against plain versions, on a driver table and on texts with every awkward case."""
 
+import uuid
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keyspan.llm import decontaminate, license_scan, quality_model, quality_rules, queries, shingle_join, source_mix, substring_dedup, token_counts, url_filter, warc
+from keyspan.llm import decontaminate, license_scan, quality_model, quality_rules, queries, shingle_join, source_mix, substring_dedup, textscan, token_counts, url_filter, warc
 from tests.llm import brute
 
 WORDS = [f"w{i}" for i in range(40)]
@@ -135,6 +138,41 @@ def test_unequal_sets_with_one_id(spark, awkward, monkeypatch):
     assert ids[0] == 1 and ids[1] == ids[2] not in (1, 2) and ids[5] not in (1, 2, ids[1]) and len(renamed) == 2 and nodes.count() == 4
 
 
+def test_links_are_verified_from_their_own_texts(spark, tmp_path, monkeypatch):
+    """Only texts of the pairs' documents are put to words, once; repeated rows, null ids and ids with several texts among them."""
+    near = [" ".join(WORDS[:39] + [f"tail{i}"]) for i in range(6)]
+    far = [" ".join(f"far{i}x{j}" for j in range(12)) for i in range(40)]
+    rows = [(5, near[0]), (5, near[0]), (5, near[1]), (5, far[0]), (None, near[2]), (None, near[2]), (None, far[1]), (7, near[3]), (8, near[3]), (None, None), (9, "")] + [(100 + i, t) for i, t in enumerate(far)]
+    source = spark.createDataFrame(rows, "doc long, text string").withColumn("th", F.xxhash64("text")).repartition(3)
+
+    def counted(column, f=textscan.scan_words, **how):
+        (tmp_path / uuid.uuid4().hex).write_text(str(len(column)))
+        yield from f(column, **how)
+
+    table, nodes, renamed = shingle_join.nodes_of(shingle_join.written(shingle_join.sets_table(source), "sets"))
+    ids = [r.s1 for r in table.where(F.col("n") == 36).select("s1").distinct().collect()]
+    other = table.where(F.col("n") == 8).select("s1").first().s1
+    own = {r.doc for r in nodes.where(F.col("s1").isin([*ids, other])).collect()}
+    pairs = shingle_join.written(spark.createDataFrame([(max(a, b), min(a, b)) for i, a in enumerate([*ids, other]) for b in ids[:i]], "a long, b long"), "pairs")
+    monkeypatch.setattr(shingle_join, "scan_words", counted)
+    links = shingle_join.verified(source, pairs, None, nodes, renamed)
+    assert len(ids) == 4 and {(r.a, r.b) for r in links.collect()} == {(max(a, b), min(a, b)) for i, a in enumerate(ids) for b in ids[:i]} and links.count() == 6
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == sum(d in own for d, _ in rows) < len(rows) / 2
+
+
+def test_sets_against_plain_loops():
+    texts = pa.array([*AWKWARD, "", None, "a", "b a", "a b c d", "a b c d e", "a " * 30])
+    for w in textscan.scan_words(texts, lower=True):
+        d, v = shingle_join.chunk_sets(w)
+        assert [np.sum(d == i) for i in range(w.hi - w.lo)] == [len(brute.shingles(t.as_py())) for t in texts[w.lo : w.hi]]
+        assert (np.lexsort((v, d)) == np.arange(len(v))).all()
+        size, late = np.bincount(d, minlength=w.hi - w.lo), v % np.uint64(3) == 0
+        start, order, want = np.cumsum(size) - size, np.lexsort((late, d)), np.empty(len(v), np.int64)
+        want[order] = np.arange(len(v)) - start[d]
+        assert (shingle_join.prefix_places(size, late) == want).all()
+        assert (shingle_join.is_in(v, np.unique(v[late])) == late).all() and not shingle_join.is_in(v, None).any() and not shingle_join.is_in(v, v[:0]).any()
+
+
 def test_license_texts_keep_apart(spark):
     cc = "This work is licensed under a Creative Commons Attribution{} International License."
     cases = [(t, label) for label, t in license_scan.TEMPLATES] + [
